@@ -37,7 +37,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, target for a frame of source and size.
 
     Targets rise together in proportion to weight; a source stops at its cap. Taken in order of cap / weight,
-    the first source that its share of the rest does not fill to the cap ends the capped ones.
+    the first source that its share of the rest does not fill to the cap ends the capped ones; from there on
+    the shares only fall, so the largest such share is the level.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -47,7 +48,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("capped", F.coalesce(F.sum("cap").over(by_cap), F.lit(0))).withColumn("gone", F.coalesce(F.sum("weight").over(by_cap), F.lit(0)))
     per = per.withColumn("level", (F.sum("source_size").over(whole) - F.col("capped")) / (F.sum("weight").over(whole) - F.col("gone")))
-    per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
+    per = per.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0)))
     return per.select("source", "source_size", target.alias("target"))
 
@@ -119,7 +120,7 @@ l as (select *, coalesce(sum(cap) over o, 0) as capped, coalesce(sum(weight) ove
              sum(source_size) over () as whole, sum(weight) over () as weights from w
       window o as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 e as (select *, (whole - capped)::double / (weights - gone)::double as level from l),
-t as (select source, source_size, least(cap::double, coalesce(min(case when level * weight <= cap then level end) over () * weight, 0)) as target,
+t as (select source, source_size, least(cap::double, coalesce(max(case when level * weight <= cap then level end) over () * weight, 0)) as target,
              ('0x' || substr(md5('mix:' || coalesce(source, chr(0))), 1, 8))::bigint / 4294967296.0::double as u from e),
 r as (select doc_id, size, source_size, target, u, case when source_size > 0 then target / source_size else 0 end as each,
              row_number() over (partition by c.source order by cls, h, doc_id nulls last, size) as k
