@@ -68,15 +68,25 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return one.unionByName(rows.select(F.lit(0).alias("label"), F.explode(ordinary).alias("value")))
 
 
-def ratios(samples: DataFrame, symbols: int = 68, smoothing: float = 0.5) -> list[float]:
-    """For each pair of ASCII characters, the log of its probability as random over that as ordinary."""
+def ratios(samples: DataFrame, symbols: int = 68, weight: float = 2.0) -> list[float]:
+    """For each pair of ASCII characters, the log of its probability as random over that as ordinary.
+
+    A transition backs off to how often its second character follows any, and that to equal chances.
+    """
     counts = {(r["label"], r["pair"]): r["n"] for r in transitions(samples).collect()}  # at most 2 x 16,384 rows
-    total: dict = {}
+    before: dict = {}
+    after: dict = {}
+    total = {0: 0, 1: 0}
     for (label, pair), n in counts.items():
-        total[label, pair >> 7] = total.get((label, pair >> 7), 0) + n
+        before[label, pair >> 7] = before.get((label, pair >> 7), 0) + n
+        after[label, pair & 127] = after.get((label, pair & 127), 0) + n
+        total[label] += n
+    if not total[0] or not total[1]:
+        return [0.0] * (128 * 128)
 
     def log_p(label: int, pair: int) -> float:
-        return math.log((counts.get((label, pair), 0) + smoothing) / (total.get((label, pair >> 7), 0) + smoothing * symbols))
+        any_ = (after.get((label, pair & 127), 0) + weight / symbols) / (total[label] + weight)
+        return math.log((counts.get((label, pair), 0) + weight * any_) / (before.get((label, pair >> 7), 0) + weight))
 
     return [log_p(1, pair) - log_p(0, pair) for pair in range(128 * 128)]
 
