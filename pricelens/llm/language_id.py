@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, in_worker, table, with_columns
+from .common import id_remainder, in_worker, table, with_columns, written
 from .ngrams import ContextTree, GramScores, chunks, grams, summed
 
 SAMPLE = 2000
@@ -32,7 +32,7 @@ ORDER = 4
 
 def bounded_sample(rows: DataFrame, label: str, sample: int) -> DataFrame:
     """About `sample` rows (expected) for each label, chosen by a hash of doc_id; all rows of smaller labels."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = written(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_rows")), "label-sizes")  # of known size: rows need not move
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     return rows.join(sizes, label).where(place * F.col("_rows") < sample).drop("_rows")
 

@@ -140,13 +140,14 @@ def verdicts(scored: DataFrame, bounds: DataFrame) -> DataFrame:
 def op10_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     scored = written(features(docs).drop("text"), "quality")
-    return verdicts(scored, thresholds(sketches(scored))).select("doc_id", *FEATURES, "base_failed", "kept")
+    bounds = written(thresholds(sketches(scored)), "bounds")  # its size is then known, and Spark can choose to broadcast it
+    return verdicts(scored, bounds).select("doc_id", *FEATURES, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     bare = docs.select("lang", "source", "text")
-    bounds = thresholds(sketches(features(bare).drop("text")))
+    bounds = written(thresholds(sketches(features(bare).drop("text"))), "bounds")
     whole = docs.select("lang", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return verdicts(features(whole), bounds).where("kept").select("_row.*")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, in_worker, table, with_columns
+from .common import id_remainder, in_worker, table, with_columns, written
 from .language_id import bounded_sample, fitted_counts
 from .ngrams import GramScores, KneserNey, chunks, grams
 
@@ -130,5 +130,6 @@ def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_remainder("doc_id", 5) == 0)
     labels = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.where(id_remainder("doc_id", 5) != 0)
-    fitted = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    picked = written(bounded_sample(labels.where("toxic in (0, 1)"), "toxic", SAMPLE), "picked")  # labels first, then their texts
+    fitted = fit(written(docs.select("doc_id", "text").join(picked, "doc_id"), "labelled"))
     return score(docs, fitted).select("doc_id", "held_out", "score", "predicted")
