@@ -1,15 +1,15 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures (operator 4).
 
 A document's set holds its distinct 5-word shingles (as 64-bit hashes). Equal sets become one node. A node's
-signature has 96 minima; each of 32 trees orders the nodes by the signature rotated to begin at three minima
-of the tree's own. Nodes that agree in those three lie together in a region of the order. Two nodes with
-similarity 0.75 share a region in a tree with probability 0.42, so in none with probability 3e-8.
+signature has 160 minima; each of 40 trees orders the nodes by the signature rotated to begin at four minima
+of the tree's own. Nodes that agree in those four lie together in a region of the order. Two nodes with
+similarity 0.75 share a region in a tree with probability 0.32, so in none with probability 3e-7.
 
 Depth adapts to the region. In a small one (at most SMALL nodes) every two nodes are candidates. In a dense
 one a node's candidates are its neighbours in the order of the whole rotated signature, which share the
 longest prefixes; where its nodes still are in several components after that, all its nodes from different
 components are compared on their full sets, in blocks. Candidates whose signatures agree too little are
-dropped (at similarity 0.75 a chance of about 1e-5 for a pair), the rest are confirmed on the full sets.
+dropped (two bits of each minimum; at similarity 0.75 a chance of about 1e-5 for a pair), the rest are confirmed on the full sets.
 
 Texts without words, and null texts, are linked with nothing. Rows that share an id count as one document;
 a row with a null id is linked with nothing, has a null component and is kept.
@@ -32,11 +32,13 @@ from .components import components
 
 WIDTH = 5
 SHARE = 75
-TREES, DEPTH = 32, 3
+TREES, DEPTH = 40, 4
 SMALL = 8
 NEAR = 3
 CHUNK = 1024
-AGREE = 53
+#: Ids that are broadcast at most.
+FEW = 1_000_000
+AGREE = 108
 WORD = re.compile(rb"[^ \t-\r]+")
 _SEEDS = np.random.default_rng(20240229)
 MULTIPLY = _SEEDS.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,7 +80,7 @@ def mixed_minima(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id, prefixes (one key for each tree), minima (16 bits of each)."""
+    """doc_id, n_shingles, set_id, prefixes (one key for each tree), minima (two bits of each, four in a byte)."""
     fields = ["doc_id", "n_shingles", "set_id", "prefixes", "minima"]
     tree = mixed(np.arange(1, TREES + 1, dtype=np.uint64))
 
@@ -99,7 +101,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                         key = mixed(key * np.uint64(31) + first[:, j])
                     set_ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     prefixes.append(key.view(np.int64))
-                    minima.append((low >> np.uint64(48)).astype(np.uint16).tobytes())
+                    two = ((mixed(low) >> np.uint64(32)) & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
+                    minima.append((two << np.array([6, 4, 2, 0], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a).cast(pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(set_ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(minima, pa.binary())], fields
                 )
@@ -133,11 +136,11 @@ def neighbours(members: DataFrame) -> DataFrame:
     def run(batches):
         for t in grouped_batches(batches):
             key, tree, node = (t.column(i).to_numpy() for i in range(3))
-            low = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(len(key), -1)
-            width = low.shape[1]
-            turn = (np.arange(width)[None, :8] + DEPTH * (tree[:, None] + 1)) % width
-            deep = np.take_along_axis(low, turn, axis=1)
-            order = np.lexsort((node, *deep.T[::-1], key))
+            bits = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(len(key), -1)
+            turn = (np.arange(8)[None, :] + tree[:, None] + 1) % bits.shape[1]  # a byte holds the minima of a tree
+            deep = np.take_along_axis(bits, turn, axis=1).view(">u8").ravel()
+            order = np.lexsort((node, deep, key))
+            low = np.stack([(bits >> shift) & 3 for shift in (6, 4, 2, 0)], axis=2).reshape(len(key), -1)
             key, node, low = key[order], node[order], low[order]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.repeat(np.diff(np.r_[first, len(key)]), np.diff(np.r_[first, len(key)]))
@@ -188,6 +191,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())], ["node", "shingles"])
 
+    nodes = written(nodes, "wanted")
+    if nodes.count() <= FEW:  # 8 bytes each: texts stay where they are; beyond that both sides are shuffled
+        nodes = F.broadcast(nodes)
     wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
     return wanted.mapInArrow(run, "node long, shingles binary")
 
