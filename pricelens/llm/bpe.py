@@ -33,7 +33,7 @@ PIECES = regex.compile(PATTERN)
 
 
 #: Bytes before the end of a prefix by which the tokens that end there are remembered.
-TAIL = 7
+TAIL = 4
 
 
 def pieces_of(run: str) -> list[str]:
@@ -55,7 +55,7 @@ def byte_letters() -> dict[str, int]:
 class Bpe:
     """The tokens of a vocabulary file, and encoding and decoding with them."""
 
-    def __init__(self, definition: str, limit: int = 200_000):
+    def __init__(self, definition: str, limit: int = 400_000):
         spec = json.loads(definition)
         letters = byte_letters()
         raw = lambda t: bytes(letters[c] for c in t)
@@ -64,22 +64,27 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.rank, self.parts, self.merge = {}, {}, {}
+        n = max(vocab.values(), default=-1) + 1
+        self.rank, self.left, self.right, self.merge = [-1] * n, [-1] * n, [-1] * n, {}
         for r, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
-            self.merge[left, right] = (r, whole)
-            if whole not in self.parts:
-                self.rank[whole], self.parts[whole] = r, (left, right)
+            self.merge[left << 32 | right] = r
+            if self.rank[whole] < 0:
+                self.rank[whole], self.left[whole], self.right[whole] = r, left, right
         self.by_bytes = {}
         for i in vocab.values():
-            if i not in self.parts or self._apart(*self.parts[i], self.rank[i]):
+            if self.rank[i] < 0 or self._apart(self.left[i], self.right[i], self.rank[i]):
                 self.by_bytes[self.bytes_of[i]] = i
         #: Every suffix of a token; those that are tokens have their id, others -1.
         self.suffixes = {t[i:]: -1 for t in self.by_bytes for i in range(len(t))} | self.by_bytes
+        known = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)]
+        self.token_bytes = np.frombuffer(b"".join(known), np.uint8)
+        self.token_length = np.array(list(map(len, known)), np.int64)
+        self.token_start = np.cumsum(self.token_length) - self.token_length
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.joins: dict[int, bool] = {}
-        self.tails: dict[bytes, list[tuple[int, int]]] = {}
+        self.tails: dict[bytes, tuple[list[tuple[int, int]], bool]] = {}
         self.ids: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.limit = limit
@@ -90,42 +95,45 @@ class Bpe:
         The merges that made a and b are undone from the latest; at each state the two tokens at the border
         must not merge before the later of them was made. Equal ranks merge from the left.
         """
+        rank, merge = self.rank, self.merge.get
         while True:
-            found = self.merge.get((a, b))
-            if found and found[0] < before:
+            found = merge(a << 32 | b)
+            if found is not None and found < before:
                 return False
-            ra, rb = self.rank.get(a, -1), self.rank.get(b, -1)
-            if ra < 0 and rb < 0:
-                return True
+            ra, rb = rank[a], rank[b]
             if ra > rb:
-                a, before = self.parts[a][1], min(before, ra)
+                a = self.right[a]
+                if ra < before:
+                    before = ra
+            elif rb < 0:
+                return True
             else:
-                b, before = self.parts[b][0], min(before, rb + 1)
+                b = self.left[b]
+                if rb < before:
+                    before = rb + 1
 
     def _follows(self, a: int, b: int) -> bool:
         known = self._apart(a, b, 1 << 60)
-        if len(self.joins) > self.limit:
+        if len(self.joins) > 2 * self.limit:
             self.joins.clear()
         self.joins[a << 32 | b] = known
         return known
 
-    def _ends(self, tail: bytes, path: bytes) -> list[tuple[int, int]]:
-        """(length, token) of the tokens that end a path, longest first; remembered if its tail settles them."""
-        tokens, start = [], len(path) - 1
-        while start >= 0 and (token := self.suffixes.get(path[start:])) is not None:
+    def _ends(self, tail: bytes) -> tuple[list[tuple[int, int]], bool]:
+        """(length, token) of the tokens that end a tail, longest first; whether longer ones may end a longer path."""
+        tokens, start = [], len(tail) - 1
+        while start >= 0 and (token := self.suffixes.get(tail[start:])) is not None:
             if token >= 0:
-                tokens.append((len(path) - start, token))
+                tokens.append((len(tail) - start, token))
             start -= 1
-        tokens.reverse()
-        if len(path) < TAIL or start >= len(path) - TAIL:
-            if len(self.tails) > self.limit:
-                self.tails.clear()
-            self.tails[tail] = tokens
-        return tokens
+        if len(self.tails) > self.limit:
+            self.tails.clear()
+        self.tails[tail] = found = (tokens[::-1], start < 0 and len(tail) == TAIL)
+        return found
 
     def encode_words(self, words) -> dict[str, bytes]:
         """Ids of distinct words, four bytes each: one walk over their trie, each shared prefix once."""
-        tails, joins, ends, follows, packed = self.tails.get, self.joins.get, self._ends, self._follows, self.packed
+        tails, suffixes, joins, ends, follows, packed = self.tails.get, self.suffixes.get, self.joins.get, self._ends, self._follows, self.packed
         out, path, last, ids = {}, b"", [], [b""]
         for word in sorted(words):  # the order of a depth-first walk
             raw = word.encode()
@@ -135,9 +143,13 @@ class Bpe:
             del last[shared:], ids[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
                 tail = raw[end - TAIL : end] if end > TAIL else raw[:end]
-                tokens = tails(tail)
-                if tokens is None:
-                    tokens = ends(tail, raw[:end])
+                tokens, more = tails(tail) or ends(tail)
+                if more:
+                    n = TAIL + 1
+                    while n <= end and (token := suffixes(raw[end - n : end])) is not None:
+                        if token >= 0:
+                            tokens = [(n, token), *tokens]
+                        n += 1
                 for length, token in tokens:  # exactly one fits
                     if length < end:
                         before = last[end - length - 1]
@@ -165,23 +177,40 @@ class Bpe:
         """Make the ids of these distinct runs known; earlier ones may be forgotten."""
         if len(self.runs) > self.limit:
             self.runs.clear()
-        cut = {r: pieces_of(r) for r in runs if r not in self.runs}
+        plain, cut = [], {}
+        for r in runs - self.runs.keys():
+            pieces = pieces_of(r)
+            if len(pieces) == 1:
+                plain.append(r)
+            else:
+                cut[r] = pieces
         self.learn_pieces({p for pieces in cut.values() for p in pieces})
         for r, pieces in cut.items():
             self.runs[r] = b"".join(map(self.ids.__getitem__, pieces))
+        self.runs.update(self.encode_words(plain))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.cut.split(t) if self.cut and self.cut.search(t) else [t] for t in texts]
         cut = [[[p] if p in self.special else RUNS.findall(p) for p in ps] for ps in parts]
-        self.learn({r for ps, runs in zip(parts, cut) for p, rs in zip(ps, runs) if p not in self.special for r in rs})
-        marks = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        self.learn(set().union(*[rs for ps, runs in zip(parts, cut) for p, rs in zip(ps, runs) if p not in self.special]))
+        marks = {t: self.packed[i] for t, i in self.special.items()}
         get = self.runs.__getitem__
         return [b"".join(marks[p] if p in marks else b"".join(map(get, rs)) for p, rs in zip(ps, runs)) for ps, runs in zip(parts, cut)]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decode_bytes([ids])[0].decode("utf-8", "replace")
+
+    def decode_bytes(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes that the ids of each text stand for."""
+        n = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
+        code = np.frombuffer(b"".join(ids), "<u4")
+        length = self.token_length[code]
+        ends = np.cumsum(length)
+        place = np.repeat(self.token_start[code] - ends + length, length) + np.arange(length.sum())
+        raw, upto = self.token_bytes[place].tobytes(), np.r_[0, ends][np.r_[0, np.cumsum(n)]].tolist()
+        return [raw[a:b] for a, b in zip(upto, upto[1:])]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -207,7 +236,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 def decoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs (with ids and text) with decoded, the text of the ids."""
     bpe = shared_bpe(docs.sparkSession, path)
-    return with_columns(docs, lambda ids: [[bpe().decode(i or b"") for i in ids]], "decoded string", text="ids")
+    return with_columns(docs, lambda ids: [[b.decode("utf-8", "replace") for b in bpe().decode_bytes([i or b"" for i in ids])]], "decoded string", text="ids")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -216,7 +245,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def make(texts):
         ids = bpe().encode([t or "" for t in texts])
-        back = (bpe().decode(i).encode() for i in ids)
+        back = (b.decode("utf-8", "replace").encode() for b in bpe().decode_bytes(ids))
         return [[len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids], [hashlib.sha256(b).hexdigest() for b in back]]
 
     return with_columns(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
