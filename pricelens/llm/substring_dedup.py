@@ -4,14 +4,15 @@ A byte goes if a string of `least` bytes around it also starts in a document wit
 are dealt to blocks by a hash of the id. Every window of `least` bytes has an anchor, the 25-byte gram of
 lowest hash that starts in it, so equal windows have equal anchors, and the windows of one anchor form a run.
 
-1. Each block sends the hashes of its anchors, each once. Hashes that two blocks sent go back to them.
-2. Each block sends the runs of shared anchors (bytes, smallest document), equal runs once; the later
+1. A text that equals a whole earlier one goes whole and takes no further part.
+2. Each block sends the keys of its anchors, each once. Keys that two blocks sent go back to them.
+3. Each block sends the runs of shared anchors (bytes, smallest document), equal runs once; the later
    documents of an equal run lose all its windows on the spot. Anchors shared by many blocks send their
    windows one by one, under a hash of the window, so that no group outgrows the number of blocks.
-3. Each shard sorts the suffixes of its runs, takes for each one the previous and the next in suffix order
-   that belong to a smaller document, and keeps the longer common prefix: the longest previous factor, cut
-   at `least` bytes. Windows that reach it are dropped from their document.
-4. Each block cuts the dropped stretches out of its texts.
+4. Each shard settles equal runs likewise. Of what then differs under one anchor it sorts the suffixes, takes
+   for each one the previous and the next in suffix order that belong to a smaller document, and keeps the
+   longer common prefix: the longest previous factor, cut at `least` bytes. Windows that reach it are dropped.
+5. Each block cuts the dropped stretches out of its texts.
 
 Null texts count as empty. Rows with equal ids are separate documents, neither smaller; null ids are larger
 than all others. Texts under `least` bytes lose nothing.
@@ -19,14 +20,14 @@ than all others. Texts under `least` bytes lose nothing.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, table, written
+from .ngrams import found
 
 LEAST = 50
 GRAM = 25
@@ -38,7 +39,8 @@ NO_ID = np.iinfo(np.int64).max
 RANDOM = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 LOW = np.uint64((1 << 24) - 1)
-HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("offset", "<i8"), ("n", "<i4"), ("again", "?")])
+#: Anchors are known by 48 bits of their hash; what shares them is compared byte by byte.
+KEY = np.uint64((1 << 48) - 1)
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -66,7 +68,7 @@ def window_runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[:-10], low[10:])
-    good = np.zeros(n + 1, np.int32)
+    good = np.zeros(n + 1, np.int32)  # windows inside one text
     fits = ends - starts >= LEAST
     np.add.at(good, starts[fits], 1)
     np.add.at(good, ends[fits] - LEAST + 1, -1)
@@ -81,133 +83,169 @@ def window_runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 class Block:
-    """The texts of one block, smallest document first, and the runs of windows in them."""
+    """The texts of one block, smallest document first; copies of earlier whole texts are set aside."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        ids = pdf.doc_id.to_numpy()
+    def __init__(self, pdf: pd.DataFrame, copies: pd.DataFrame | None = None):
+        prints, no_id = pdf.print.to_numpy(), pdf.no_id.to_numpy()
         texts = [t.encode() if t else b"" for t in pdf.text]
-        known = np.where(pd.isna(pdf.doc_id), NO_ID, pdf.doc_id.fillna(0)).astype(np.int64)
+        known = pdf["rank"].to_numpy()
         order = sorted(range(len(texts)), key=lambda i: (known[i], texts[i]))
-        self.ids, self.rank = [None if pd.isna(ids[i]) else int(ids[i]) for i in order], known[order]
+        self.ids, self.rank = [None if no_id[i] else int(known[i]) for i in order], known[order]
         self.texts = [texts[i] for i in order]
-
-    def pieces(self):
-        """(row of the first text, raw bytes, starts, ends, rows, offset in the row) for about PIECE bytes of text at a time."""
-        part, size = [], 0
-        for row, t in enumerate(self.texts):
-            for at in range(0, max(1, len(t) - LEAST + 1), 8 * PIECE):  # a long text in overlapping parts
-                chunk = t[at : at + 8 * PIECE + LEAST - 1]
-                part.append((row, at, chunk))
-                size += len(chunk)
-                if size >= PIECE:
-                    yield self._joined(part)
-                    part, size = [], 0
-        if part:
-            yield self._joined(part)
-
-    @staticmethod
-    def _joined(part):
-        lengths = np.fromiter((len(c) for _, _, c in part), np.int64, len(part))
-        ends = np.cumsum(lengths)
-        data = b"".join(c for _, _, c in part)
-        return data, ends - lengths, ends, np.array([r for r, _, _ in part]), np.array([a for _, a, _ in part])
+        gone = set(copies.print.dropna()) if copies is not None else set()
+        self.copy = [prints[i] in gone for i in order]
+        self.raw = b"".join(t for t, c in zip(self.texts, self.copy) if not c)
+        lengths = np.array([0 if c else len(t) for t, c in zip(self.texts, self.copy)], np.int64)
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
 
     def runs(self):
-        """data, first, count, hash, row, offset of first in its text, for each piece."""
-        for data, starts, ends, rows, offset in self.pieces():
-            first, count, h = window_runs(np.frombuffer(data, np.uint8), starts, ends)
-            owner = np.searchsorted(ends, first, "right")
-            yield data, first, count, h, rows[owner], first - starts[owner] + offset[owner]
+        """first window (place in raw), windows, anchor key, row - of all runs, in the order of raw."""
+        raw = np.frombuffer(self.raw, np.uint8)
+        found = []
+        for at in range(0, max(len(raw) - LEAST + 1, 0), PIECE):
+            part = raw[at : at + PIECE + LEAST - 1]
+            lo, hi = np.searchsorted(self.ends, at, "right"), np.searchsorted(self.starts, at + len(part), "left")
+            starts, ends = np.maximum(self.starts[lo:hi] - at, 0), np.minimum(self.ends[lo:hi] - at, len(part))
+            first, count, h = window_runs(part, starts, ends)
+            found.append((first + at, count, h & KEY))
+        first, count, key = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*found)) or [(), (), ()]))
+        return first, count, key.astype(np.uint64), np.searchsorted(self.ends, first, "right")
+
+
+def split(key: np.ndarray, shards: int) -> np.ndarray:
+    return (key % np.uint64(shards)).astype(np.int64)
+
+
+def text_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes [start, start + length) of raw; lengths are at most 80."""
+    out = np.empty(len(start), np.uint64)
+    padded = np.concatenate([raw, np.zeros(80, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, 80)
+    for a in range(0, len(start), 1 << 16):
+        s, n = start[a : a + (1 << 16)], length[a : a + (1 << 16)]
+        words = np.where(np.arange(80) < n[:, None], view[s], 0).view(np.uint64)
+        h = n.astype(np.uint64) * C[0]
+        for j in range(words.shape[1]):
+            h = (h ^ words[:, j]) * C[1 + j % 4]
+            h ^= h >> np.uint64(32)
+        out[a : a + len(s)] = h
+    return out
 
 
-def split(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+def cuts(sorted_values: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values, and the end."""
+    n = len(sorted_values)
+    return np.r_[np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]), n] if n else np.zeros(1, np.int64)
 
 
-def anchors(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """shard, block, data: the block's distinct anchor hashes."""
-    found = [np.unique(h) for _, _, _, h, _, _ in Block(pdf).runs()]
-    h = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    return packed(split(h, shards), h.reshape(-1, 1).view(np.uint8), int(pdf.block.iloc[0]))
+def low_bytes(keys: np.ndarray, n: int = 6) -> np.ndarray:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :n]
 
 
-def packed(shard: np.ndarray, rows: np.ndarray, block: int) -> pd.DataFrame:
-    order = np.argsort(shard, kind="stable")
-    shard, rows = shard[order], rows[order]
-    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
-    data = [rows[a:b].tobytes() for a, b in zip(first, np.r_[first[1:], len(shard)])]
-    return pd.DataFrame({"shard": shard[first], "block": block, "data": data})
+def from_low_bytes(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view(np.uint64).ravel()
 
 
-def shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """block, data: for each block its hashes that other blocks have too; the last byte says whether many do."""
-    h = np.frombuffer(b"".join(pdf.data), np.uint64)
-    block = np.repeat(pdf.block.to_numpy(), [len(d) // 8 for d in pdf.data])
-    order = np.argsort(h, kind="stable")
-    h, block = h[order], block[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    n = np.repeat(np.diff(np.r_[first, len(h)]), np.diff(np.r_[first, len(h)]))
-    h, block, many = h[n > 1], block[n > 1], (n[n > 1] > MANY).astype(np.uint8)
-    rows = np.concatenate([h.reshape(-1, 1).view(np.uint8), many.reshape(-1, 1)], axis=1) if len(h) else np.zeros((0, 9), np.uint8)
-    out = packed(block, rows, 0)
-    return pd.DataFrame({"block": out["shard"], "data": out["data"]})
+def packed(target: np.ndarray, rows: np.ndarray) -> tuple[list, list]:
+    order = np.argsort(target, kind="stable")
+    at = cuts(target[order])
+    return target[order][at[:-1]].tolist(), [rows[order[i:j]].tobytes() for i, j in zip(at[:-1], at[1:])]
 
 
-def run_key(h: int, window: bytes | None) -> int:
-    return h if window is None else int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
+def anchors(pdf: pd.DataFrame, copies: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """shard, block, data: the block's distinct anchor keys, six bytes each."""
+    if not len(pdf):
+        return pd.DataFrame({"shard": [], "block": [], "data": []})
+    key = np.unique(Block(pdf, copies).runs()[2])
+    shard, data = packed(split(key, shards), low_bytes(key))
+    return pd.DataFrame({"shard": shard, "block": int(pdf.block.iloc[0]), "data": data})
 
 
-def candidate_runs(key, pdf: pd.DataFrame, hits: pd.DataFrame, shards: int) -> pd.DataFrame:
+def shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+    """block, data: for each block its keys that other blocks have too; a seventh byte says whether many do."""
+    key = from_low_bytes(np.frombuffer(b"".join(pdf.data), np.uint8).reshape(-1, 6))
+    block = np.repeat(pdf.block.to_numpy(), [len(d) // 6 for d in pdf.data])
+    order = np.argsort(key, kind="stable")
+    key, block = key[order], block[order]
+    size = np.diff(cuts(key))
+    n = np.repeat(size, size)
+    rows = np.concatenate([low_bytes(key[n > 1]), (n[n > 1] > MANY).astype(np.uint8)[:, None]], axis=1)
+    target, data = packed(block[n > 1], rows)
+    return pd.DataFrame({"block": target, "data": data})
+
+
+def candidate_runs(pdf: pd.DataFrame, hits: pd.DataFrame, shards: int) -> pd.DataFrame:
     """shard, block, heads, texts, done: runs to compare with other blocks, and stretches settled here.
 
-    heads has for a run: key, document, row, offset, windows, whether its bytes are those of the run before;
+    hits holds keys (data) and copies (print). heads has columns of equal length, one after another:
+    key, document, row, offset in the text, windows, and for bytes that were sent before the place of that run.
     done has row, start, end.
     """
     if not len(pdf):
         return pd.DataFrame({"shard": [], "block": [], "heads": [], "texts": [], "done": []})
-    packed_hits = np.frombuffer(b"".join(hits.data), np.uint8).reshape(-1, 9)
-    foreign = np.ascontiguousarray(packed_hits[:, :8]).view(np.uint64).ravel()
+    known = np.frombuffer(b"".join(d for d in hits.data if d is not None), np.uint8).reshape(-1, 7)
+    foreign = from_low_bytes(known[:, :6])
     order = np.argsort(foreign)
-    foreign, many = foreign[order], packed_hits[order, 8]
-    block = Block(pdf)
-    hashes = [h for _, _, _, h, _, _ in block.runs()]
-    h = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-    twice = np.unique(h[1:][h[1:] == h[:-1]]) if len(h) else h
-    wanted = np.union1d(foreign, twice)
-    seen: dict = {}
-    heads, texts, done = [], [], []
-    for data, first, count, h, row, offset in block.runs():
-        at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
-        pick = np.flatnonzero(wanted[at] == h) if len(wanted) else np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(foreign, h[pick]), max(len(foreign) - 1, 0))
-        hot = (many[place] > 0) & (foreign[place] == h[pick]) if len(foreign) else np.zeros(len(pick), bool)
-        for f, n, key_, r, o, single in zip(first[pick].tolist(), count[pick].tolist(), h[pick].tolist(), row[pick].tolist(), offset[pick].tolist(), hot.tolist()):
-            doc = block.rank[r]
-            parts = ((f + i, o + i, 1) for i in range(n)) if single else ((f, o, n),)
-            for f_, o_, n_ in parts:
-                text = data[f_ : f_ + n_ + LEAST - 1]
-                held = seen.setdefault(text, (doc, key_, single, []))
-                if held[0] < doc:
-                    done.append((r, o_, o_ + n_ + LEAST - 1))
-                else:
-                    held[3].append((r, o_, n_))
-    for text, (doc, key_, single, places) in seen.items():
-        own_key = run_key(key_, text if single else None)
-        for i, (r, o, n) in enumerate(places):  # the same bytes again in this document: sent once
-            heads.append((own_key, doc, r, o, n, i > 0))
-            texts.append(b"" if i else text)
-    b = int(pdf.block.iloc[0])
-    head = np.array(heads, dtype=HEAD)
-    shard = split(head["key"], shards)
-    order = np.argsort(shard, kind="stable")
-    cut = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]]) if len(order) else order
-    rows = []
-    for i, j in zip(cut, np.r_[cut[1:], len(order)]) if len(order) else ():
-        at = order[i:j]
-        rows.append((int(shard[at[0]]), b, head[at].tobytes(), b"".join(texts[k] for k in at), b""))
-    if done:
-        rows.append((b % shards, b, b"", b"", np.array(merged(np.array(done, np.int64)), np.int64).tobytes()))
-    return pd.DataFrame(rows, columns=["shard", "block", "heads", "texts", "done"])
+    foreign, many = foreign[order], known[order, 6]
+    block = Block(pdf, hits)
+    raw = np.frombuffer(block.raw, np.uint8)
+    first, count, key, row = block.runs()
+    doc = block.rank[row]
+    order = np.argsort(key, kind="stable")  # rows, so documents, stay in order
+    at = cuts(key[order])
+    several = np.zeros(len(key), bool)
+    several[order] = np.repeat(doc[order][at[:-1]] != doc[order][at[1:] - 1], np.diff(at)) if len(key) else False
+    place, there = found(foreign, key)
+    pick = np.flatnonzero(there | several)
+    single = (there[pick] & (many[place[pick]] > 0)) if len(foreign) else np.zeros(len(pick), bool)
+    one = pick[single]  # hot anchors: windows of their own
+    inner = np.arange(count[one].sum()) - np.repeat(np.cumsum(count[one]) - count[one], count[one])
+    plain = pick[~single]
+    start = np.concatenate([first[plain], np.repeat(first[one], count[one]) + inner])
+    n = np.concatenate([count[plain], np.ones(len(inner), np.int64)])
+    r = np.concatenate([row[plain], np.repeat(row[one], count[one])])
+    text = text_hashes(raw, start, n + LEAST - 1)
+    k = np.concatenate([key[plain], text[len(plain) :] & KEY])
+    order = np.lexsort((start, text, k))
+    start, n, r, k, text = start[order], n[order], r[order], k[order], text[order]
+    head = np.r_[True, (text[1:] != text[:-1]) | (k[1:] != k[:-1])] if len(k) else np.zeros(0, bool)
+    lead = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0)) if len(k) else np.zeros(0, np.int64)
+    d, offset = block.rank[r], start - block.starts[r]
+    later = d > d[lead]
+    done = merged(np.stack([r[later], offset[later], (offset + n + LEAST - 1)[later]], axis=1).astype(np.int64))
+    stay = np.flatnonzero(~later)
+    lead_of = np.searchsorted(stay, lead[stay])
+    target = split(k[stay], shards)
+    order = np.lexsort((start[stay], stay != lead[stay], target))
+    at = cuts(target[order])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    b, out = int(pdf.block.iloc[0]), []
+    for i, j in zip(at[:-1], at[1:]):
+        rows = stay[order[i:j]]
+        again = back[lead_of[order[i:j]]] - i
+        leads = int((again == np.arange(j - i)).sum())
+        length = n[rows[:leads]] + LEAST - 1
+        bytes_at = np.repeat(start[rows[:leads]] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        columns = [low_bytes(k[rows]).tobytes(), np.diff(d[rows], prepend=0).tobytes(), np.diff(r[rows], prepend=0).astype(np.int64).tobytes(), offset[rows].astype(np.int64).tobytes(), n[rows].astype(np.uint8).tobytes(), again[leads:].astype(np.int64).tobytes()]
+        out.append((int(target[order[i]]), b, np.int64(j - i).tobytes() + pack(b"".join(columns)), pack(raw[bytes_at].tobytes()), b""))
+    if len(done):
+        out.append((b % shards, b, b"", b"", done.tobytes()))
+    return pd.DataFrame(out, columns=["shard", "block", "heads", "texts", "done"])
+
+
+def unpacked(heads: bytes) -> tuple[np.ndarray, ...]:
+    """key, document, row, offset, windows, place of the run with the bytes."""
+    m = int(np.frombuffer(heads[:8], np.int64)[0])
+    data = zstandard.ZstdDecompressor().decompress(heads[8:])
+    wide = np.frombuffer(data[6 * m : 30 * m], np.int64).reshape(3, m)
+    again = np.frombuffer(data[31 * m :], np.int64)
+    key = from_low_bytes(np.frombuffer(data[: 6 * m], np.uint8).reshape(m, 6))
+    return key, np.cumsum(wide[0]), np.cumsum(wide[1]), wide[2], np.frombuffer(data[30 * m : 31 * m], np.uint8).astype(np.int64), np.r_[np.arange(m - len(again)), again]
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -260,52 +298,74 @@ def previous_factors(windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     """block, data: stretches (row, start, end) to drop, from the runs of one shard."""
-    out = [pd.DataFrame({"block": pdf.block[pdf.done.str.len() > 0], "data": pdf.done[pdf.done.str.len() > 0]})]
-    head = np.concatenate([np.frombuffer(h, HEAD) for h in pdf.heads]) if len(pdf) else np.zeros(0, HEAD)
-    block = np.repeat(pdf.block.to_numpy(), [len(h) // HEAD.itemsize for h in pdf.heads])
-    raw = np.frombuffer(b"".join(pdf.texts), np.uint8)
-    length = np.where(head["again"], 0, head["n"].astype(np.int64) + LEAST - 1)
-    start = np.maximum.accumulate(np.where(head["again"], 0, np.cumsum(length) - length)) if len(head) else length
-    order = np.argsort(head["key"], kind="stable")
-    key = head["key"][order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[first, len(key)])
-    keep = np.repeat(size > 1, size)  # a key with one run repeats nothing
-    order = order[keep]
-    done, upto = [], np.cumsum(head["n"][order].astype(np.int64))
-    a = 0
-    while a < len(order):
-        b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SUFFIXES, "right"))
-        b = max(b, a + 1)
-        while b < len(order) and head["key"][order[b]] == head["key"][order[b - 1]]:
+    settled = pdf[pdf.done.str.len() > 0]
+    out = [pd.DataFrame({"block": settled.block, "data": settled.done})]
+    sent = pdf[pdf.heads.str.len() > 0]
+    if len(sent):
+        parts = [unpacked(h) for h in sent.heads]
+        raw = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(t) for t in sent.texts), np.uint8)
+        sizes = np.array([len(p[0]) for p in parts])
+        key, doc, row, offset, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        again = np.concatenate([p[5] + base for p, base in zip(parts, np.cumsum(sizes) - sizes)])
+        block = np.repeat(sent.block.to_numpy(), sizes)
+        length = np.where(again == np.arange(len(key)), n + LEAST - 1, 0)
+        start = (np.cumsum(length) - length)[again]
+        spans = compared(raw, key, doc, row, offset, n, start, block)
+        order = np.argsort(spans[:, 0], kind="stable")
+        at = cuts(spans[order, 0])
+        for i, j in zip(at[:-1], at[1:]):
+            out.append(pd.DataFrame({"block": [spans[order[i], 0]], "data": [merged(spans[order[i:j], 1:]).tobytes()]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def compared(raw, key, doc, row, offset, n, start, block) -> np.ndarray:
+    """block, row, start, end of repeated stretches. Equal runs are settled by their smallest document; where an
+    anchor has different runs, the suffixes of one run of each kind get their longest previous factors."""
+    text = text_hashes(raw, start, n + LEAST - 1)
+    order = np.lexsort((doc, text, key))
+    k, t = key[order], text[order]
+    head = np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])]
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
+    whole = order[doc[order] > doc[lead]]
+    done = [np.stack([block[whole], row[whole], offset[whole], offset[whole] + n[whole] + LEAST - 1], axis=1)]
+    kinds = order[head]
+    size = np.diff(cuts(key[kinds]))
+    mixed = kinds[np.repeat(size > 1, size)]
+    upto, a = np.cumsum(n[mixed]), 0
+    flags: dict[int, list[int]] = {}  # windows that repeat, of the runs that stand for their kinds
+    while a < len(mixed):
+        b = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SUFFIXES, "right")), a + 1)
+        while b < len(mixed) and key[mixed[b]] == key[mixed[b - 1]]:
             b += 1
-        part = order[a:b]
-        n = head["n"][part].astype(np.int64)
-        owner = np.repeat(np.arange(len(part)), n)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = start[part][owner] + inner
-        factor = previous_factors(np.lib.stride_tricks.sliding_window_view(raw, LEAST)[at], head["doc"][part][owner])
-        hit = np.flatnonzero(factor >= LEAST)
-        o = head["offset"][part][owner[hit]] + inner[hit]
-        done.append(np.stack([block[part][owner[hit]], head["row"][part][owner[hit]], o, o + LEAST], axis=1))
+        part = mixed[a:b]
+        owner = np.repeat(np.arange(len(part)), n[part])
+        inner = np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+        windows = np.lib.stride_tricks.sliding_window_view(raw, LEAST)[start[part][owner] + inner]
+        hit = np.flatnonzero(previous_factors(windows, doc[part][owner]) >= LEAST)
+        for o, i in zip(owner[hit].tolist(), inner[hit].tolist()):
+            flags.setdefault(int(part[o]), []).append(i)
         a = b
-    spans = np.concatenate(done) if done else np.zeros((0, 4), np.int64)
-    for one in np.unique(spans[:, 0]):
-        out.append(pd.DataFrame({"block": [one], "data": [merged(spans[spans[:, 0] == one, 1:]).astype(np.int64).tobytes()]}))
-    return pd.concat(out, ignore_index=True)
+    if flags:
+        # runs of the same kind and document repeat where the one that stands for them does
+        same = order[(doc[order] == doc[lead]) & np.isin(lead, np.fromiter(flags, np.int64, len(flags)))]
+        lead_of = np.empty(len(order), np.int64)
+        lead_of[order] = lead
+        rows = [(block[x], row[x], offset[x] + i, offset[x] + i + LEAST) for x in same.tolist() for i in flags[int(lead_of[x])]]
+        done.append(np.array(rows, np.int64).reshape(-1, 4))
+    return np.concatenate(done).astype(np.int64)
 
 
-def cut_out(key, pdf: pd.DataFrame, drops: pd.DataFrame) -> pd.DataFrame:
+def cut_out(pdf: pd.DataFrame, drops: pd.DataFrame) -> pd.DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for each text of the block."""
     fields = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     if not len(pdf):
         return pd.DataFrame({f: [] for f in fields})
-    block = Block(pdf)
-    spans = merged(np.frombuffer(b"".join(drops.data), np.int64).reshape(-1, 3))
+    block = Block(pdf, drops)
+    spans = merged(np.frombuffer(b"".join(d for d in drops.data if d is not None), np.int64).reshape(-1, 3))
     bounds = np.searchsorted(spans[:, 0], np.arange(len(block.texts) + 1))
     rows = []
-    for i, (doc_id, t) in enumerate(zip(block.ids, block.texts)):
-        own = spans[bounds[i] : bounds[i + 1], 1:].tolist()
+    for i, (doc_id, t, copy) in enumerate(zip(block.ids, block.texts, block.copy)):
+        own = [[0, len(t)]] if copy and len(t) >= LEAST else spans[bounds[i] : bounds[i + 1], 1:].tolist()
         kept, at = [], 0
         for s, e in own:
             kept.append(t[at:s])
@@ -315,16 +375,33 @@ def cut_out(key, pdf: pd.DataFrame, drops: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=fields).astype({"doc_id": "Int64"})
 
 
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """print (id and hash of the text) of documents whose whole text is that of a document with a smaller id."""
+    light = docs.select("doc_id", "print", "block", F.sha2("text", 256).alias("digest")).where("doc_id is not null and digest is not null")
+    firsts = light.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = written(firsts.select("digest", "first"), "firsts")
+    return written(light.join(firsts, "digest").where("doc_id > first").select("print", "block"), "copies")
+
+
 def removed(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row of docs (doc_id, text)."""
     shards = shards or partitions(docs.sparkSession)
-    blocks = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(3)), F.lit(2 * shards)).cast("int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", blocks.alias("block")).repartition(2 * shards, "block")
-    one = texts.groupBy("block").applyInPandas(lambda pdf: anchors(pdf, shards), "shard long, block long, data binary")
+    block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(3)), F.lit(2 * shards)).cast("int").alias("block")
+    doc_id = F.col("doc_id").cast("long")
+    rank = F.coalesce(doc_id, F.lit(NO_ID))  # pandas has no whole numbers with nulls
+    docs = docs.select(doc_id.alias("doc_id"), rank.alias("rank"), doc_id.isNull().alias("no_id"), "text", F.concat_ws(":", doc_id, F.hex(F.xxhash64("text"))).alias("print"), block)
+    copies = whole_copies(docs)
+
+    def with_copies(df):
+        data, name = F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("print")
+        return df.select("block", "data", name).unionByName(copies.select("block", data, "print")).groupBy("block")
+
+    texts = docs.select("rank", "no_id", "text", "print", "block").repartition(2 * shards, "block")
+    one = texts.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(lambda a, b: anchors(a, b, shards), "shard long, block int, data binary")
     two = one.groupBy("shard").applyInPandas(shared_anchors, "block int, data binary")
-    runs = texts.groupBy("block").cogroup(two.groupBy("block")).applyInPandas(lambda key, a, b: candidate_runs(key, a, b, shards), "shard long, block int, heads binary, texts binary, done binary")
+    runs = texts.groupBy("block").cogroup(with_copies(two)).applyInPandas(lambda a, b: candidate_runs(a, b, shards), "shard long, block int, heads binary, texts binary, done binary")
     drops = runs.groupBy("shard").applyInPandas(repeated, "block int, data binary")
-    return texts.groupBy("block").cogroup(drops.groupBy("block")).applyInPandas(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.groupBy("block").cogroup(with_copies(drops)).applyInPandas(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op1_substring_dedup(spark, sf_dir):
