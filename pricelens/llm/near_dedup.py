@@ -7,8 +7,9 @@ similarity 0.75 share a region in a tree with probability 0.32, so in none with
 
 Depth adapts to the region. In a small one (at most SMALL nodes) every two nodes are candidates. In a dense
 one a node's candidates are its neighbours in the order of the whole rotated signature, which share the
-longest prefixes; where its nodes still are in several components after that, all its nodes from different
-components are compared on their full sets, in blocks. Candidates whose signatures agree too little are
+longest prefixes (the order is cut into ranges, so one region may lie in many tasks); where its nodes still are
+in several components after that, those outside the largest one are compared with all on their full sets, in
+blocks, for the first few trees and then, with what these joined, for the others. Candidates whose signatures agree too little are
 dropped (two bits of each minimum; at similarity 0.75 a chance of about 1e-5 for a pair), the rest are confirmed on the full sets.
 
 Texts without words, and null texts, are linked with nothing. Rows that share an id count as one document;
@@ -36,6 +37,8 @@ TREES, DEPTH = 40, 4
 SMALL = 8
 NEAR = 3
 CHUNK = 1024
+#: Trees whose dense regions are compared first.
+EARLY = 4
 #: Ids that are broadcast at most.
 FEW = 1_000_000
 AGREE = 108
@@ -130,33 +133,75 @@ def grouped_batches(batches):
         yield held
 
 
+def followers(key: np.ndarray, node: np.ndarray, bits: np.ndarray, reach: int) -> np.ndarray:
+    """Pairs a < b (two rows) of nodes of one key at most `reach` places apart whose signatures agree enough."""
+    low = np.stack([(bits >> shift) & 3 for shift in (6, 4, 2, 0)], axis=2).reshape(len(key), -1)
+    found = [np.zeros((2, 0), np.int64)]
+    for step in range(1, reach + 1):
+        i = np.flatnonzero(key[step:] == key[:-step])
+        for at in range(0, len(i), 1 << 16):
+            x = i[at : at + (1 << 16)]
+            x = x[(low[x] == low[x + step]).sum(axis=1) >= AGREE]
+            found.append(np.stack([np.minimum(node[x], node[x + step]), np.maximum(node[x], node[x + step])]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pairs[:, pairs[0] < pairs[1]]
+
+
+def columns_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bits = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    return t.column(0).to_numpy(), t.column(1).to_numpy(), bits
+
+
+def paired(ordered: DataFrame) -> DataFrame:
+    """Pairs a, b of rows (key, node, deep) that lie within NEAR in their task's order, and each task's first and
+    last NEAR rows as a (the node), null, key and deep."""
+
+    def run(batches):
+        first, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            if first is None or first.num_rows < NEAR:
+                first = (t if first is None else pa.concat_tables([first, t])).slice(0, NEAR)
+            t = t if held is None else pa.concat_tables([held, t])
+            pairs = followers(*columns_of(t), NEAR)
+            n = pairs.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], fields)
+            held = t.slice(max(t.num_rows - NEAR, 0))
+        if held is not None:
+            ends = pa.concat_tables([first, held]).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([ends.column(1), pa.nulls(ends.num_rows, pa.int64()), ends.column(0), ends.column(2)], fields)
+
+    fields = ["a", "b", "key", "deep"]
+    return ordered.select("key", "node", "deep").mapInArrow(run, "a long, b long, key long, deep binary")
+
+
+def ordered(dense: DataFrame) -> DataFrame:
+    """key, node, deep (the signature rotated to begin after the tree's own minima), dealt by ranges of this order."""
+    turned = dense.selectExpr("key", "node", "substring(concat(minima, minima), tree + 2, length(minima)) as deep")
+    return turned.repartitionByRange("key", "deep", "node").sortWithinPartitions("key", "deep", "node")
+
+
 def neighbours(members: DataFrame) -> DataFrame:
-    """Candidate pairs a < b of node ids, from rows of key, tree, node and minima."""
+    """Candidate pairs a < b of node ids, from rows of key, tree, node, n (rows of the key) and minima.
+
+    Small regions go to tasks whole. Dense ones are cut anywhere in the order: pairs across a cut are found
+    among the first and last rows of the tasks.
+    """
 
     def run(batches):
         for t in grouped_batches(batches):
-            key, tree, node = (t.column(i).to_numpy() for i in range(3))
-            bits = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(len(key), -1)
-            turn = (np.arange(8)[None, :] + tree[:, None] + 1) % bits.shape[1]  # a byte holds the minima of a tree
-            deep = np.take_along_axis(bits, turn, axis=1).view(">u8").ravel()
-            order = np.lexsort((node, deep, key))
-            low = np.stack([(bits >> shift) & 3 for shift in (6, 4, 2, 0)], axis=2).reshape(len(key), -1)
-            key, node, low = key[order], node[order], low[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.repeat(np.diff(np.r_[first, len(key)]), np.diff(np.r_[first, len(key)]))
-            found = []
-            for step in range(1, SMALL):
-                i = np.flatnonzero((key[step:] == key[:-step]) & ((size[step:] <= SMALL) | (step <= NEAR)))
-                for at in range(0, len(i), 1 << 16):
-                    x = i[at : at + (1 << 16)]
-                    x = x[(low[x] == low[x + step]).sum(axis=1) >= AGREE]
-                    found.append(np.stack([np.minimum(node[x], node[x + step]), np.maximum(node[x], node[x + step])]))
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            pairs = pairs[:, pairs[0] < pairs[1]]
+            pairs = followers(*columns_of(t), SMALL - 1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    dealt = members.select("key", "tree", "node", "minima").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    few = members.where(F.col("n") <= SMALL).select("key", "node", "minima").repartition("key").sortWithinPartitions("key")
+    dense = written(members.where(F.col("n") > SMALL).select("key", "tree", "node", "minima"), "dense-rows")  # a range exchange reads its input twice
+    inside = written(paired(ordered(dense)), "inside")
+    ends = inside.where("b is null").selectExpr("key", "a as node", "deep").distinct()
+    across = paired(ends.repartition(1).sortWithinPartitions("key", "deep", "node"))
+    found = inside.unionByName(across).where("b is not null").select("a", "b")
+    return few.mapInArrow(run, "a long, b long").unionByName(found).distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -199,13 +244,17 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def merging(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between nodes of different components in one block of a dense region, enough to join what is linked."""
+    """Links between nodes of different components in one block of a dense region, enough to join what is linked.
+
+    Rows of the lower part are compared with those of the other one, or with each other where there is none.
+    """
     nodes, part = pdf.node.to_numpy(), pdf.part.to_numpy()
-    both_parts = len(set(part)) > 1
+    probes = np.flatnonzero(part == part.min())
+    others = np.flatnonzero(part != part.min()) if part.min() < part.max() else probes
     sets = [np.frombuffer(s, np.uint64) for s in pdf.shingles]
     length = np.array(list(map(len, sets)))
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.r_[0, np.cumsum(length)[:-1]]
+    known, token = np.unique(np.concatenate([sets[i] for i in others]), return_inverse=True)
+    starts = np.r_[0, np.cumsum(length[others])[:-1]]
     up = {c: c for c in set(pdf.component)}
 
     def top(c):
@@ -215,14 +264,15 @@ def merging(pdf: pd.DataFrame) -> pd.DataFrame:
         return c
 
     component, out = pdf.component.to_numpy(), []
-    for i in range(len(nodes)):
-        mark = np.zeros(token.max() + 1, np.int32)
-        mark[token[starts[i] : starts[i] + length[i]]] = 1
+    for i in probes:
+        if len(out) == len(up) - 1:
+            break
+        at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+        mark = np.zeros(len(known), np.int32)
+        mark[at[known[at] == sets[i]]] = 1
         common = np.add.reduceat(mark[token], starts)
-        near = 100 * common >= SHARE * (length + length[i] - common)
-        if both_parts:
-            near &= part != part[i]
-        for j in np.flatnonzero(near):
+        near = 100 * common >= SHARE * (length[others] + length[i] - common)
+        for j in others[near]:
             x, y = top(component[i]), top(component[j])
             if x != y:
                 up[max(x, y)] = min(x, y)
@@ -230,18 +280,32 @@ def merging(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def blocks(placed: DataFrame) -> DataFrame:
+    """key, lo, hi (the block), part, node, component: what is to be compared in dense regions, from rows of key, node, n, component.
+
+    Two nodes of different components are not both in their region's largest one, so the nodes outside it (part 0,
+    in chunks lo) against all (part 1, in chunks hi) meet every such pair; a region of one component has no block.
+    """
+    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("of"), F.max("n").alias("n"))
+    main = counts.groupBy("key").agg(F.max(F.struct("of", "component")).alias("main"), F.max("n").alias("n"))
+    open_ = written(main.where("main.of < n").selectExpr("key", "main.component as main", "n - main.of as outside"), "open")
+    members = placed.join(open_, "key")
+    chunks = lambda rows: F.ceil(rows / CHUNK).cast("int")
+    chunk = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), n).cast("int")
+    lows, highs = chunks(F.col("outside")), chunks(F.col("n"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    fields = ["key", "lo", "hi", "part", "node", "component"]
+    probes = members.where("component <> main").withColumns({"part": F.lit(0), "lo": chunk(lows)}).withColumn("hi", every(highs))
+    rest = members.withColumns({"part": F.lit(1), "hi": chunk(highs)}).withColumn("lo", every(lows))
+    return probes.select(*fields).unionByName(rest.select(*fields))
+
+
 def dense_links(dense: DataFrame, parts: DataFrame, docs: DataFrame) -> DataFrame:
     """Links that join components within dense regions (rows of key, node, n); parts: node, component."""
     placed = written(dense.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "dense")
-    bounds = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_keys = written(bounds.where("lo < hi").select("key"), "open")
-    members = written(placed.join(open_keys, "key"), "members")
-    sets = written(sets_of(docs, members.select("node").distinct()), "dense-sets")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = members.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), chunks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).join(sets, "node")
-    return rows.groupBy("key", "lo", "hi").applyInPandas(merging, "a long, b long")
+    rows = written(blocks(placed), "blocks")
+    sets = written(sets_of(docs, rows.select("node").distinct()), "dense-sets")
+    return rows.join(sets, "node").groupBy("key", "lo", "hi").applyInPandas(merging, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -259,11 +323,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = sets_of(docs, pairs.selectExpr("explode(array(a, b)) as node").distinct())
     links = written(confirmed(pairs, written(sets.dropDuplicates(["node"]), "sets")), "links")
     parts = written(components(links), "parts")
-    dense = regions.where(F.col("n") > SMALL).select("key", "node", "n")
-    more = written(dense_links(dense, parts, docs), "dense-links")
-    if not more.isEmpty():
-        joined = links.unionByName(more)
-        parts = written(components(joined), "parts")
+    dense = regions.where(F.col("n") > SMALL).select("key", "tree", "node", "n")
+    for trees in (F.col("tree") < EARLY, F.col("tree") >= EARLY):  # regions that the first trees' links closed are not compared again
+        more = written(dense_links(dense.where(trees).drop("tree"), parts, docs), "dense-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = written(components(links), "parts")
     classes = firsts.join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     classes = written(classes, "classes")
     out = all_.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")

@@ -128,6 +128,43 @@ def test_dense_region_in_blocks(monkeypatch):
     assert up == [0, 0, 0, 3, 3]
 
 
+def test_dense_region_is_cut_over_tasks(spark):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 256, 40, np.uint8)
+    rows = []
+    for i in range(3000):
+        own = base.copy()
+        own[r.integers(0, 40, 3)] = r.integers(0, 256, 3, np.uint8)
+        rows.append((77, 6, i, 3000, own.tobytes()))
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        members = spark.createDataFrame(rows, "key long, tree int, node long, n long, minima binary")
+        loads = near_dedup.ordered(members).groupBy(near_dedup.F.spark_partition_id()).count().collect()
+        assert len(loads) > 1 and max(x["count"] for x in loads) < 1500
+        found = {(x.a, x.b) for x in near_dedup.neighbours(members).collect()}
+    finally:
+        spark.conf.unset(conf)
+    turned = {x[2]: x[4][7:] + x[4][:7] for x in rows}
+    order = sorted(turned, key=lambda i: (turned[i], i))
+    agree = lambda a, b: sum((x >> k) & 3 == (y >> k) & 3 for x, y in zip(turned[a], turned[b]) for k in (0, 2, 4, 6))
+    want = {tuple(sorted((a, b))) for s in range(1, near_dedup.NEAR + 1) for a, b in zip(order, order[s:]) if agree(a, b) >= near_dedup.AGREE}
+    assert want <= found and all(agree(a, b) >= near_dedup.AGREE for a, b in found)
+
+
+def test_dense_region_sends_only_outsiders_to_all_blocks(spark):
+    n, component = 5000, {7: 7, 4000: 4000, 4001: 4000}
+    rows = [(1, i, n, component.get(i, 0)) for i in range(n)] + [(2, i, 50, 0) for i in range(50)]
+    out = near_dedup.blocks(spark.createDataFrame(rows, "key long, node long, n long, component long")).collect()
+    assert {x.key for x in out} == {1}
+    assert len(out) == n + 3 * 5
+    met = {}
+    for x in out:
+        met.setdefault((x.lo, x.hi), ([], []))[x.part].append(x.node)
+    pairs = {(a, b) for probes, rest in met.values() for a in probes for b in rest}
+    assert pairs == {(a, b) for a in component for b in range(n)}
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
