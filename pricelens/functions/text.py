@@ -135,7 +135,7 @@ def proven_variants(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(n == 1, "proven").when(n == 0, "none").otherwise("ambiguous").alias("variant"))
 
 
-@query("STR-48", "JOI-29", "JOI-17", "JOI-18", sql="""
+@query("STR-48", "JOI-29", sql="""
 select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey <> b.p_partkey and (a.p_name = b.p_name or b.p_name = a.p_name || ' ex' or string_split(a.p_name, ' ')[1] = b.p_name)""")
 def equivalent_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -158,7 +158,7 @@ def grade_mismatches(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", label.alias("mismatch"))
 
 
-@query("STR-55", "SRC-30", "SRC-31", sql=r"""
+@query("STR-55", sql=r"""
 select page_id, len(list_filter(string_split(regexp_replace(regexp_replace(html, '<[^>]+>', chr(10), 'g'), '[ \t\r]+', ' ', 'g'), chr(10)), lambda x: trim(x) <> '')) as lines from pages""")
 def html_lines(spark, sf_dir):
     lines = F.split(F.regexp_replace(F.regexp_replace("html", "<[^>]+>", "\n"), r"[ \t\r]+", " "), "\n")
@@ -173,7 +173,7 @@ def page_links(spark, sf_dir):
     return p.select("page_id", F.size(links).cast("long").alias("links"), F.size(F.array_distinct(links)).cast("long").alias("different"), (F.col("html").rlike('class="ad"') & ~F.col("html").rlike("nofollow")).alias("valid"))
 
 
-@query("WIN-14", "SRC-02", "SRC-12", sql=r"select page_id, regexp_extract(url, '^https?://([^/]+)/', 1) as host, regexp_extract(url, '/([a-z]{2})/', 1) as lang, regexp_extract(url, 'page=([0-9]+)', 1) as page from pages")
+@query("WIN-14", sql=r"select page_id, regexp_extract(url, '^https?://([^/]+)/', 1) as host, regexp_extract(url, '/([a-z]{2})/', 1) as lang, regexp_extract(url, 'page=([0-9]+)', 1) as page from pages")
 def url_keys(spark, sf_dir):
     u = lambda p: F.regexp_extract("url", p, 1)
     return table(spark, sf_dir, "pages").select("page_id", u("^https?://([^/]+)/").alias("host"), u("/([a-z]{2})/").alias("lang"), u("page=([0-9]+)").alias("page"))

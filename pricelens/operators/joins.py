@@ -107,7 +107,7 @@ def best_match(spark, sf_dir):
     return rows.select(F.col("a_id").alias("a"), F.when((F.col("s") >= 75) & (F.col("second").isNull() | (F.col("s") - F.col("second") >= 5)), F.col("b_id")).alias("chosen"))
 
 
-@query("JOI-16", "JOI-23", "JOI-26", "JOI-27", "JOI-28", sql="with " + LISTINGS_SQL.strip() + """
+@query("JOI-16", sql="with " + LISTINGS_SQL.strip() + """
 select listing_id, case when n is null then 'none' when n = 1 then 'exact' when m = 1 then 'by size' else 'ambiguous' end as resolution, case when n = 1 then one when m = 1 then two end as card
 from listings l left join (select p_name, p_brand, count(*) as n, min(p_partkey) as one from part group by all) a on l.title = a.p_name and split_part(l.identity, '|', 1) = a.p_brand
 left join (select p_name, p_brand, p_size, count(*) as m, min(p_partkey) as two from part group by all) b on l.title = b.p_name and split_part(l.identity, '|', 1) = b.p_brand and l.size = b.p_size""")
@@ -121,7 +121,7 @@ def unique_lookup(spark, sf_dir):
     return rows.select("listing_id", how.alias("resolution"), F.when(F.col("n") == 1, F.col("one")).when(F.col("m") == 1, F.col("two")).alias("card"))
 
 
-@query("JOI-22", "JOI-21", "JOI-19", sql="""
+@query("JOI-22", sql="""
 select id, case when count(distinct card) = 1 then min(card) end as card, count(distinct card) as candidates from (
   select s_suppkey as id, c_custkey as card from supplier join customer on s_nationkey = c_nationkey and floor(s_acctbal / 100) = floor(c_acctbal / 100)
   union all select s_suppkey, c_custkey from supplier join customer on s_nationkey = c_nationkey and s_suppkey % 100 = c_custkey % 100 and c_mktsegment = 'BUILDING'

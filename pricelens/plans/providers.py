@@ -58,7 +58,7 @@ def sold_estimates(spark, sf_dir):
     return rows.select("part_id", F.size("k").alias("kept"), F.round(middle(F.col("k")), 6).alias("central"), F.element_at("k", 1).alias("low"), F.element_at("k", -1).alias("high"))
 
 
-@query("SRC-38", "SRC-39", "SRC-40", "SRC-08", "SRC-25", sql="""
+@query("SRC-38", sql="""
 select page_id, count(*) as seeds, case when count(*) = 1 then min(s_suppkey) end as seed from pages join supplier on length(url) % 100 = s_suppkey % 100 and (page_id + s_suppkey) % 3 = 0 group by page_id""")
 def pages_matched_to_seeds(spark, sf_dir):
     """A page counts for a seed only if exactly one seed fits."""

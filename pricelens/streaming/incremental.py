@@ -55,7 +55,7 @@ def retry_backoff(spark, sf_dir):
     return g.select("user_id", "n", F.when(F.col("last_kind") == "view", 20).otherwise(wait).alias("wait_minutes"))
 
 
-@query("STM-15", "STM-16", "STM-25", sql="""
+@query("STM-15", "STM-16", sql="""
 select event_id, user_id, spent <= 12 as allowed from (select event_id, user_id, sum(case when event_type = 'purchase' then 4 else 1 end) over (partition by user_id order by ts, event_id) as spent from events)""")
 def budgeted_calls(spark, sf_dir):
     cost = F.when(F.col("event_type") == "purchase", 4).otherwise(1)
@@ -63,7 +63,7 @@ def budgeted_calls(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", (spent <= 12).alias("allowed"))
 
 
-@query("STM-20", "STM-21", "STM-22", "STM-23", "WIN-16", sql="""
+@query("STM-20", "STM-23", "WIN-16", sql="""
 select event_id, user_id from (select *, lag(ts) over w as prev, lag(value) over w as before from events window w as (partition by user_id, event_type order by ts, event_id)) where prev is null or date_diff('second', date_trunc('second', prev), date_trunc('second', ts)) >= 21600 or value <= 0.95::double * before""")
 def cooled_down_alerts(spark, sf_dir):
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
