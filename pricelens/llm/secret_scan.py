@@ -4,9 +4,8 @@ Everything is a DataFrame or SQL expression. Base spans come from three patterns
 tokens of 20 or more of `[A-Za-z0-9+/_=-]` with a letter and a digit, outside the base spans, whose mean
 log-likelihood ratio under two first-order Markov chains of characters favours a random string. One chain
 is trained on values that the base patterns found, the other on ordinary identifiers (letters and
-underscores, 4 characters or more), from a bounded sample: about `sample` documents, by a hash of the id.
-A chain has at most 128 x 128 transitions whatever the data, so the table of log ratios is a literal array
-in the scan. Spans are in code points, end exclusive.
+underscores, 4 characters or more), both by grouped sums over all documents. A chain has at most 128 x 128
+transitions whatever the data, so the table of log ratios is a literal array in the scan. Spans are in code points, end exclusive.
 
 Null and empty texts have no spans. Without samples of either kind both chains are uniform and add nothing.
 """
@@ -28,7 +27,6 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGNED = r"""^(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "markov")
-SAMPLE = 20_000
 #: Least mean log-likelihood ratio (nats a character) of an added span.
 RATIO = 1.0
 SPANS = "array<struct<start: int, rank: int, end: int>>"
@@ -52,11 +50,9 @@ def transitions(rows: DataFrame) -> DataFrame:
     return chars.where("pair between 0 and 16383").groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n"))
 
 
-def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """label (1: secret value, 0: ordinary identifier) and value from about `sample` documents."""
-    n = docs.count()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = docs.where(F.col("text").isNotNull() & (place * max(n, 1) < sample)).select("text")
+def labelled(docs: DataFrame) -> DataFrame:
+    """label (1: secret value, 0: ordinary identifier) and value from all documents."""
+    rows = docs.where(F.col("text").isNotNull()).select("text")
     found = F.filter(spans_of(F.col("text"), ASSIGN), lambda s: F.length(F.regexp_extract(s["found"], ASSIGNED, 2)) >= 12)
     secret = F.concat(
         F.transform(found, lambda s: F.regexp_extract(s["found"], ASSIGNED, 2)),

@@ -227,6 +227,15 @@ def test_secret_scan(spark):
     assert sum(bool(found[i]) for i in range(200, 400)) > 190 and not found[9000]
 
 
+def test_secret_models_count_every_document(spark):
+    n, few = 60_000, 12  # one document in 5,000 has a secret
+    docs = spark.range(n).selectExpr("id as doc_id", f"if(id % {n // few} = 1, concat('password = Zq7', id, 'Xk9Lm2Vt'), 'plain_words here') as text")
+    found = {(r["label"], r["n"]) for r in secret_scan.labelled(docs).groupBy("label").agg(secret_scan.F.count("value").alias("n")).collect()}
+    assert {n for label, n in found if label == 1} == {few}
+    assert {n_ for label, n_ in found if label == 0} == {2 * (n - few) + few}
+
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     text = lambda bad: " ".join(("grumblefoo" if bad and r.random() < 0.1 else f"{r.choice(['lo', 'ka', 'mi'])}{r.choice(['ne', 'sa', 'tu'])}") for _ in range(40))
