@@ -1,10 +1,11 @@
 """Toxicity from class-conditional Kneser-Ney models (operator 8).
 
 Two interpolated Kneser-Ney models over the bytes of lower-cased text, one for each class, back off to shared
-continuation counts, so an expression that is rare in either class is smoothed by what both know. Every byte
-gets the difference of its log-likelihoods. Three length-normalised measures of a text follow: the mean over
-its bytes, the largest sum over one word, and the mean over words of what a word has beyond EXCESS nats. A
-logistic curve over these, fitted on labelled rows that the models did not see, gives the score.
+continuation counts up to order SHARED. At 0 these are byte frequencies only: longer contexts have counts of
+their own class alone. Every byte gets the difference of its log-likelihoods. Three length-normalised measures
+of a text follow: the mean over its bytes, the largest sum over one word, and the mean over words of what a word
+has beyond EXCESS nats. A logistic curve over these, fitted on labelled rows that the models did not see, gives
+the score.
 
 Models and curve are fitted on a bounded sample of labelled rows: whole texts of about `sample` rows of each
 class. Texts are scored as a whole. Null and empty texts have all measures 0. With no labelled row of some
