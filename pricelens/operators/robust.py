@@ -189,6 +189,42 @@ def hinge_statistics(prices: Column) -> dict[str, Column]:
     }
 
 
+def running(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by, v, c: how many) with up (rows of the group up to v) and n (all of its rows); no group becomes one value."""
+    w = Window.partitionBy(*by)
+    up = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"up": up, "n": F.sum("c").over(w)})
+
+
+def counted(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
+    return running(rows.select(*by, value.alias("v")).groupBy(*by, "v").agg(F.count("v").alias("c")), by)
+
+
+def narrowed(rows: DataFrame, by: list[str], inside: Column) -> DataFrame:
+    """running rows again, those outside counted as none."""
+    left = rows.select(*by, F.when(inside, F.col("v")).alias("k"), "v", F.when(inside, F.col("c")).otherwise(0).alias("c"))
+    return running(left, by).drop("v").withColumnRenamed("k", "v")
+
+
+def middle_at(skip: str, n: str) -> Column:
+    """Aggregate over running rows: the median of the n places after the first `skip`."""
+    place = lambda k: F.min(F.when(F.col("up") >= F.expr(k), F.col("v")))
+    return (place(f"{skip} + ({n} + 1) div 2") + place(f"{skip} + {n} div 2 + 1")) / 2.0
+
+
+def hinge_rows(rows: DataFrame, by: list[str]) -> DataFrame:
+    """What hinge_statistics gives, for each group of running rows."""
+    ends = {"median": middle_at("0", "n"), "least": F.min("v"), "most": F.max("v"), "low": middle_at("0", "(n div 2)"), "high": middle_at("n - n div 2", "(n div 2)")}
+    g = rows.groupBy(*by).agg(F.max("n").alias("n"), *[c.alias(k) for k, c in ends.items()])
+    g = g.withColumns({"lower": F.when(F.col("n") >= 4, F.col("low")).otherwise(F.col("least")), "upper": F.when(F.col("n") >= 4, F.col("high")).otherwise(F.col("most"))})
+    iqr = F.col("upper") - F.col("lower")
+    g = g.withColumn("reach", F.when(iqr > 0, 1.5 * iqr).otherwise(0.4 * F.col("median")))
+    return g.select(
+        *by, "n", "median", "lower", "upper", F.greatest(F.col("lower") - F.col("reach"), F.lit(0.01)).alias("low_fence"), (F.col("upper") + F.col("reach")).alias("high_fence"),
+        ((F.col("most") - F.col("least")) / F.col("median")).alias("dispersion"),
+    )
+
+
 @query("AGG-26", sql=with_sales("""
 select part_id, grader, n, median, lo as lower, hi as upper, round(greatest(lo - reach, 0.01), 6) as low_fence, round(hi + reach, 6) as high_fence, round((x[-1] - x[1]) / median, 6) as dispersion
 from (select *, case when hi - lo > 0 then 1.5 * (hi - lo) else 0.4::double * median end as reach from h)""", """
@@ -197,9 +233,8 @@ h as (select *, (x[(n + 1) // 2] + x[n // 2 + 1]) / 2 as median,
         case when n >= 4 then (x[(n // 2 + 1) // 2] + x[(n // 2) // 2 + 1]) / 2 else x[1] end as lo,
         case when n >= 4 then (x[n - n // 2 + (n // 2 + 1) // 2] + x[n - n // 2 + (n // 2) // 2 + 1]) / 2 else x[-1] end as hi from a)"""))
 def hinge_fences(spark, sf_dir):
-    g = sales(spark, sf_dir).groupBy("part_id", "grader").agg(F.count("price").alias("n"), F.collect_list(cents(F.col("price"))).alias("x"))
-    s = hinge_statistics(F.col("x"))
-    return g.select("part_id", "grader", "n", s["median"].alias("median"), s["lower"].alias("lower"), s["upper"].alias("upper"), *[F.round(s[c], 6).alias(c) for c in ("low_fence", "high_fence", "dispersion")])
+    s = hinge_rows(counted(sales(spark, sf_dir), ["part_id", "grader"], cents(F.col("price"))), ["part_id", "grader"])
+    return s.select("part_id", "grader", "n", "median", "lower", "upper", *[F.round(c, 6).alias(c) for c in ("low_fence", "high_fence", "dispersion")])
 
 
 def reference_value(prices: Column) -> Column:
@@ -213,8 +248,12 @@ def reference_value(prices: Column) -> Column:
 select part_id, source, round(case when n <= 2 then (x[(n + 1) // 2] + x[n // 2 + 1]) / 2 else (k[(len(k) + 1) // 2] + k[len(k) // 2 + 1]) / 2 end, 6) as reference
 from (select *, list_filter(x, lambda p: p >= 0.4::double * x[n // 2 + 1] and p <= 2.0::double * x[n // 2 + 1]) as k from a)""", "a as (select part_id, source, count(*) as n, list_sort(list(price)) as x from sales group by all)"))
 def upper_median_reference(spark, sf_dir):
-    g = sales(spark, sf_dir).groupBy("part_id", "source").agg(F.collect_list("price").alias("x"))
-    return g.select("part_id", "source", F.round(reference_value(F.col("x")), 6).alias("reference"))
+    by = ["part_id", "source"]
+    rows = counted(sales(spark, sf_dir), by, F.col("price"))
+    pivot = F.min(F.when(F.col("up") >= F.expr("n div 2 + 1"), F.col("v"))).over(Window.partitionBy(*by))
+    rows = rows.withColumn("pivot", pivot)
+    kept = narrowed(rows, by, (F.col("n") <= 2) | F.col("v").between(0.4 * F.col("pivot"), 2.0 * F.col("pivot")))
+    return kept.groupBy(*by).agg(F.round(middle_at("0", "n"), 6).alias("reference"))
 
 
 def lower_weighted_median(df: DataFrame, by: list[str], price: str = "price", weight: str = "weight") -> DataFrame:
@@ -282,5 +321,5 @@ def asking_statistics(spark, sf_dir):
 
 @query("AGG-09", sql=with_sales("\nselect part_id, len(list_sort(list(price))) as n, round(list_sort(list(price))[1], 6) as first, round(list_sort(list(price))[-1], 6) as last from kept group by part_id", keep_mad_sql("sales", "part_id")))
 def kept_prices(spark, sf_dir):
-    g = keep_mad(sales(spark, sf_dir), ["part_id"]).groupBy("part_id").agg(F.array_sort(F.collect_list("price")).alias("x"))
-    return g.select("part_id", F.size("x").cast("long").alias("n"), F.round(F.element_at("x", 1), 6).alias("first"), F.round(F.element_at("x", -1), 6).alias("last"))
+    g = keep_mad(sales(spark, sf_dir), ["part_id"]).groupBy("part_id")
+    return g.agg(F.count("price").alias("n"), F.round(F.min("price"), 6).alias("first"), F.round(F.max("price"), 6).alias("last"))

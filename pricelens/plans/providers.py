@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.robust import hinge_statistics, cents, middle
+from ..operators.robust import cents, counted, hinge_rows, middle, middle_at, narrowed
 from ..registry import query
 from ..sources.tables import LISTINGS_SQL, listings, sales, table, with_sales
 
@@ -52,10 +52,11 @@ a as (select part_id, count(*) as n, list_sort(list(floor(price * 100 + 0.5) / 1
 h as (select *, (x[(n + 1) // 2] + x[n // 2 + 1]) / 2 as med, case when n >= 4 then (x[(n // 2 + 1) // 2] + x[(n // 2) // 2 + 1]) / 2 else x[1] end as lo,
    case when n >= 4 then (x[n - n // 2 + (n // 2 + 1) // 2] + x[n - n // 2 + (n // 2) // 2 + 1]) / 2 else x[-1] end as hi from a)"""))
 def sold_estimates(spark, sf_dir):
-    s = sales(spark, sf_dir).where("source = 'F' and age >= 0").groupBy("part_id").agg(F.array_sort(F.collect_list(cents(F.col("price")))).alias("x")).where("size(x) >= 3")
-    h = hinge_statistics(F.col("x"))
-    rows = s.withColumn("k", F.filter("x", lambda v: (v >= h["low_fence"]) & (v <= h["high_fence"])))
-    return rows.select("part_id", F.size("k").alias("kept"), F.round(middle(F.col("k")), 6).alias("central"), F.element_at("k", 1).alias("low"), F.element_at("k", -1).alias("high"))
+    rows = counted(sales(spark, sf_dir).where("source = 'F' and age >= 0"), ["part_id"], cents(F.col("price"))).where("n >= 3")
+    fences = hinge_rows(rows, ["part_id"]).select("part_id", "low_fence", "high_fence")
+    kept = narrowed(rows.join(fences, "part_id"), ["part_id"], F.col("v").between(F.col("low_fence"), F.col("high_fence")))
+    g = kept.groupBy("part_id").agg(F.max("n").cast("int").alias("kept"), F.round(middle_at("0", "n"), 6).alias("central"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return g.select("part_id", "kept", "central", "low", "high")
 
 
 @query("SRC-38", sql="""

@@ -116,3 +116,11 @@ def test_what_is_not_built_is_not_claimed():
     missing = set(re.findall(r"[A-Z]{3}-[0-9]{2}", listed))
     assert {"SRC-09", "STM-21", "STM-22", "STM-25", "JOI-17", "JOI-18", "JOI-19", "JOI-21"} <= missing
     assert not missing & {tag for tags in COVERS.values() for tag in tags}
+
+
+def test_robust_statistics_gather_no_group_into_one_value(spark):
+    from pricelens import queries
+
+    for name in ("hinge_fences", "upper_median_reference", "kept_prices", "sold_estimates"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan, name
