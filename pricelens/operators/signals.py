@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -85,14 +86,18 @@ def stale_sellers(spark, sf_dir):
     return rows.where("minutes_to_end > 40").select("listing_id", "seller", "stale", "listed", (F.col("stale") >= 0.3 * F.col("listed")).alias("repricing"))
 
 
-@query("WIN-12", "STM-17", "STM-18", "STM-19", sql="""
-select event_id, user_id, round((prev - value) / prev * 100, 4) as drop_pct, case when prev is null then 'new' when value <= 0.9 * prev then 'price fell' when hour < 6 and prev_hour >= 6 then 'deadline' else 'quiet' end as decision
-from (select *, hour(ts) as hour, lag(value) over w as prev, lag(hour(ts)) over w as prev_hour from events window w as (partition by user_id order by ts, event_id))""")
-def alert_decisions(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").withColumns({"prev": F.lag("value").over(w), "h": F.hour("ts"), "prev_h": F.lag(F.hour("ts")).over(w)})
-    why = F.when(F.col("prev").isNull(), "new").when(F.col("value") <= 0.9 * F.col("prev"), "price fell").when((F.col("h") < 6) & (F.col("prev_h") >= 6), "deadline").otherwise("quiet")
-    return rows.select("event_id", "user_id", F.round((F.col("prev") - F.col("value")) / F.col("prev") * 100, 4).alias("drop_pct"), why.alias("decision"))
+def price_drop(before: Column, now: Column) -> Column:
+    """Percent that a price fell by, 0 to 100; 0 for a rise, an unknown price or one that is not positive."""
+    fell = (before > 0) & (now >= 0) & (now < before)
+    return F.when(fell, F.least(F.lit(100.0), (before - now) / F.when(before > 0, before) * 100)).otherwise(0.0)
+
+
+@query("WIN-12", sql="""
+select event_id, user_id, round(case when prev > 0 and value >= 0 and value < prev then least(100, (prev - value) / prev * 100) else 0 end, 4) as drop_pct
+from (select *, lag(value) over (partition by user_id order by ts, event_id) as prev from events)""")
+def price_drops(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("prev", F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return rows.select("event_id", "user_id", F.round(price_drop(F.col("prev"), F.col("value")), 4).alias("drop_pct"))
 
 
 @query("WIN-13", "TOP-03", "FLT-13", sql="with " + LISTINGS_SQL.strip() + """

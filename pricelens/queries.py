@@ -4,4 +4,4 @@ from .functions import scalars, text  # noqa: F401
 from .operators import fair_value, joins, ratios, robust, selection, signals, valuation  # noqa: F401
 from .plans import economics, providers  # noqa: F401
 from .registry import COVERS, QUERIES, SQL  # noqa: F401
-from .streaming import incremental  # noqa: F401
+from .streaming import alerts, incremental  # noqa: F401

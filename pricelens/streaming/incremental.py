@@ -63,15 +63,6 @@ def budgeted_calls(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", (spent <= 12).alias("allowed"))
 
 
-@query("STM-20", "STM-23", "WIN-16", sql="""
-select event_id, user_id from (select *, lag(ts) over w as prev, lag(value) over w as before from events window w as (partition by user_id, event_type order by ts, event_id)) where prev is null or date_diff('second', date_trunc('second', prev), date_trunc('second', ts)) >= 21600 or value <= 0.95::double * before""")
-def cooled_down_alerts(spark, sf_dir):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumns({"prev": F.lag("ts").over(w), "before": F.lag("value").over(w)})
-    late = F.unix_timestamp("ts") - F.unix_timestamp("prev") >= 21600
-    return e.where(F.col("prev").isNull() | late | (F.col("value") <= 0.95 * F.col("before"))).select("event_id", "user_id")
-
-
 @query("STM-07", "STM-12", sql="select user_id, event_type, count(*) as n, max(value) as best from events group by all")
 def grouped_once(spark, sf_dir):
     """One evaluation for each key, joined back by whoever needs it."""
