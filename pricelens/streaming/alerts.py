@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..registry import query
 from ..sources.tables import table
@@ -22,9 +23,7 @@ def folded(ticks: DataFrame, keys: list[str], order: list[str], step: Callable,
     Rows of a key are taken by `order`; ties beyond it are taken in any order. A null key is a key of its own.
     """
     more = ticks.sparkSession.createDataFrame([], fields).schema
-    out = ticks.schema
-    for f in more:
-        out = out.add(f)
+    out = StructType([*ticks.schema, *more])
     names, columns = more.fieldNames(), ticks.columns
     at = [columns.index(k) for k in keys]
 
