@@ -71,6 +71,20 @@ def secrets(text):
     return [sum(f[1] == k for f in found) for k in range(3)], ",".join(f"{BASE[k][0]}:{s}:{e}" for s, k, e in sorted(found))
 
 
+def markov_spans(text, base, logs, least, shortest=16):
+    """Added spans of a text: runs outside the base spans whose mean log ratio reaches the threshold."""
+    chars = list(text or "")
+    for s in base:
+        _, a, b = s.split(":")
+        chars[int(a) : int(b)] = " " * (int(b) - int(a))
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", "".join(chars)):
+        t = m.group()
+        if len(t) >= shortest and sum(logs[ord(a) * 128 + ord(b)] for a, b in zip(t, t[1:])) / (len(t) - 1) >= least:
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
 def quality(text):
     text = text or ""
     w = WORD.findall(text)

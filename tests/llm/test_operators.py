@@ -213,27 +213,81 @@ def test_bpe(spark):
     assert bpe.decoded(bpe.encoded(frame(spark, rows))).where("decoded <> coalesce(text, '')").count() == 0
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def secret_corpus(n=600):
+    """Documents with base secrets, ordinary identifiers, and (each fifth) a planted string that no base pattern finds."""
+    r = random.Random(31)
+    plain = "get_user_name transformation internationalisation parse_line2 HTTPServerError readFileAsString 2024-01-02 +1-555-0123 docs/api/index user-agent max_value10 the quick brown fox jumps over lazy dogs and cats".split()
+    random_of = lambda k, letters=LETTERS: "".join(r.choices(letters, k=k))
+    rows, planted = [], {}
+    for i in range(n):
+        text = " ".join(r.choices(plain, k=40))
+        if i % 5 == 1:
+            text += f' password = "{random_of(24)}" sum {random_of(40, "0123456789abcdef")}'
+        if i % 5 == 0:
+            made = (f"ghq_{random_of(36)}", f"{random_of(20)}/{random_of(19)}=", random_of(32, "0123456789ABCDEF"), f"eyJ{random_of(60)}")[i // 5 % 4]
+            text = f"{text[:57]} {made} {text[57:]}"
+            planted[i] = made
+        rows.append((i, text))
+    return rows, planted
+
+
 def test_secret_scan(spark):
     rows = awkward()
-    out = secret_scan.scanned(frame(spark, rows).drop("spans"), None)
+    out = secret_scan.scanned(frame(spark, rows), None)
     for x in out.select("doc_id", "text", secret_scan.listed("base").alias("b")).collect():
         assert x.b == brute.secrets(x.text)[1]
-    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    random_like = [(i, "key " + "".join(random.Random(i).choices(letters, k=32))) for i in range(400)]
-    labelled = spark.createDataFrame([(1, t.split()[1]) for _, t in random_like[:200]] + [(0, w) for k in range(200) for w in ("get_user_name", "transformation", "identifier", f"parse_line{k % 7}", "internationalisation")], "label int, value string")
-    table = secret_scan.ratios(labelled)
-    test = spark.createDataFrame(random_like[200:] + [(9000, "the_transformation_identifier1 get_user_name_parse_line2")], "doc_id long, text string")
-    found = {x.doc_id: x.spans for x in secret_scan.scanned(test, table).select("doc_id", "spans").collect()}
-    assert sum(bool(found[i]) for i in range(200, 400)) > 190 and not found[9000]
+    rows, planted = secret_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secret_scan.trained(docs)
+    logs, least = model
+    assert least >= secret_scan.LEAN
+    for x in secret_scan.scanned(docs, model).select("doc_id", "text", secret_scan.listed("base").alias("b"), secret_scan.listed("spans").alias("s")).collect():
+        base = [s for s in x.b.split(",") if s]
+        added = [s for s in x.s.split(",") if s not in base and s]
+        assert set(base) <= set(x.s.split(",") + [""])
+        assert sorted(base + added, key=lambda s: int(s.split(":")[1])) == [s for s in x.s.split(",") if s]
+        assert added == brute.markov_spans(x.text, base, logs, least)
+        found = [x.text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in added]
+        assert found == ([planted[x.doc_id]] if x.doc_id in planted else [])  # all of the planted ones and nothing else
+
+
+def test_secrets_learn_nothing_from_nothing(spark):
+    empty = frame(spark, [])
+    assert secret_scan.trained(empty.select("text")) is None and secret_scan.scanned(empty, None).count() == 0
+    only = spark.createDataFrame([(1, "plain words here"), (2, None), (3, "")], "doc_id long, text string")
+    assert secret_scan.trained(only.select("text")) is None
+
+
+def test_redaction_keeps_other_columns(spark):
+    rows, planted = secret_corpus()
+    docs = spark.createDataFrame([(i, t, "mine", "b", [i]) for i, t in rows] + [(0, None, "mine", "b", None)], "doc_id long, text string, spans string, base string, _row array<int>")
+    out = secret_scan.redacted(docs)
+    assert out.columns == docs.columns and out.count() == len(rows) + 1
+    for x in out.collect():
+        assert (x.spans, x.base) == ("mine", "b") and (x.text is None or (planted.get(x.doc_id, "?") not in x.text and sum(brute.secrets(x.text)[0]) == 0))
+
+
+def test_secrets_in_very_long_texts(spark):
+    r = random.Random(2)
+    run = "".join(r.choices(LETTERS, k=400_000))
+    many = "id deadbeefdeadbeef1 " * 20_000
+    rows, _ = secret_corpus()
+    docs = spark.createDataFrame([*rows, (900, run), (901, many)], "doc_id long, text string")
+    model = secret_scan.trained(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = {x.doc_id: x for x in secret_scan.scanned(docs, model).where("doc_id >= 900").select("doc_id", secret_scan.F.size("base").alias("b"), secret_scan.F.size("spans").alias("s")).collect()}
+    assert (out[900].b, out[900].s) == (0, 1) and (out[901].b, out[901].s) == (20_000, 20_000)
+    text = secret_scan.masked(secret_scan.F.col("text"), secret_scan.base_spans(secret_scan.F.col("text")), lambda n, first: secret_scan.F.when(first, "[x]").otherwise(""))
+    assert docs.where("doc_id = 901").select(text.alias("t")).first().t == "id [x] " * 20_000
 
 
 def test_secret_models_count_every_document(spark):
     n, few = 60_000, 12  # one document in 5,000 has a secret
     docs = spark.range(n).selectExpr("id as doc_id", f"if(id % {n // few} = 1, concat('password = Zq7', id, 'Xk9Lm2Vt'), 'plain_words here') as text")
-    found = {(r["label"], r["n"]) for r in secret_scan.labelled(docs).groupBy("label").agg(secret_scan.F.count("value").alias("n")).collect()}
-    assert {n for label, n in found if label == 1} == {few}
-    assert {n_ for label, n_ in found if label == 0} == {2 * (n - few) + few}
-
+    found = {r["label"]: r["n"] for r in secret_scan.labelled(docs).groupBy("label").agg(secret_scan.F.sum("n").alias("n")).collect()}
+    assert found[1] == few and found[0] == 2 * (n - few) + few
 
 
 def test_toxicity(spark):
