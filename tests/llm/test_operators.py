@@ -328,3 +328,31 @@ def test_quality_rules(spark):
     kept = quality_rules.keep_good(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
     assert quality_rules.keep_good(frame(spark, [])).count() == 0
+    clash = frame(spark, rows).withColumnsRenamed({"kept": "n_words", "copies": "length_rate_most", "spans": "_row"})
+    assert {tuple(x) for x in quality_rules.keep_good(clash).collect()} == {tuple(x) for x in kept.collect()}
+
+
+def test_thresholds_come_from_the_groups(spark):
+    r = random.Random(9)
+    fields = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_repeat_words long, base_failed boolean"
+    row = lambda i, lang, length, symbols: (i, lang, None, 1000, 10 * length, symbols, 0, False)
+    short = [row(i, "a", r.randrange(400, 421), 10 * r.randrange(0, 4)) for i in range(200)]
+    long = [row(200 + i, "b", r.randrange(700, 741), 40 * r.randrange(0, 4)) for i in range(200)]
+    few = [row(400 + i, "c", 410, 0) for i in range(5)]
+    probes = [row(900, "a", 600, 0), row(901, "b", 600, 0), row(902, "b", 900, 0), row(903, "a", 410, 300), row(904, "b", 720, 300), row(905, "c", 600, 0)]
+
+    def verdict(rows):
+        df = spark.createDataFrame(rows, fields)
+        bounds = quality_rules.thresholds(quality_rules.sketches(df))
+        return {x.lang: x for x in bounds.collect()}, {x.doc_id: x.kept for x in quality_rules.verdicts(df, bounds).collect()}
+
+    bounds, kept = verdict(short + long + few + probes)
+    for lang, rows in (("a", short), ("b", long)):
+        own = sorted(x[4] // 10 for x in rows + [p for p in probes if p[1] == lang])
+        q1, q3 = (int(np.quantile(own, q, method="inverted_cdf")) for q in (0.25, 0.75))
+        assert abs(bounds[lang].length_rate_most - (q3 + 4 * (q3 - q1))) <= 9 * q3 / 64 and bounds[lang].length_rate_by == "group"
+    assert bounds["a"].symbol_rate_most < bounds["b"].symbol_rate_most and bounds["c"].length_rate_by == "all" and bounds["a"].repeat_rate_by == "slack"
+    assert [kept[i] for i in range(900, 906)] == [False, True, False, False, True, True]
+    moved, kept = verdict([row(x[0], "a", x[4] // 10 + 190, x[5] // 1) for x in short] + long + few + probes)  # the whole group moves up
+    assert moved["a"].length_rate_most > bounds["a"].length_rate_most and kept[900]
+    assert all(verdict(short + long)[1].values()) and verdict(few[:0])[1] == {}
