@@ -9,7 +9,9 @@ found once, however many words share it.
 Texts are cut at special tokens, then into runs without white space (each with the space before it) and runs
 of white space; each distinct run is cut into pre-tokens by the tokenizer's pattern and encoded once. The
 tokenizer file is read on the driver and sent to the tasks (its size does not depend on the data); nothing is
-trained. Null texts count as empty: no ids, and an empty text back.
+trained. Null and empty texts have no ids and give an empty text back. Texts are encoded whole; a very long word
+costs its length (each prefix keeps its last token alone). Repeated rows are rows of their own; columns of docs
+named like the results are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -83,11 +85,13 @@ class Bpe:
         self.token_length = np.array(list(map(len, known)), np.int64)
         self.token_start = np.cumsum(self.token_length) - self.token_length
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
+        self.length_of = self.token_length.tolist()
         self.joins: dict[int, bool] = {}
         self.tails: dict[bytes, tuple[list[tuple[int, int]], bool]] = {}
         self.ids: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.limit = limit
+        self.held = {"ids": 0, "runs": 0}  # characters of what is known
 
     def _apart(self, a: int, b: int, before: int) -> bool:
         """Whether merges of a rank under `before` leave the border between tokens a and b alone.
@@ -133,14 +137,14 @@ class Bpe:
 
     def encode_words(self, words) -> dict[str, bytes]:
         """Ids of distinct words, four bytes each: one walk over their trie, each shared prefix once."""
-        tails, suffixes, joins, ends, follows, packed = self.tails.get, self.suffixes.get, self.joins.get, self._ends, self._follows, self.packed
-        out, path, last, ids = {}, b"", [], [b""]
+        tails, suffixes, joins, ends, follows, packed, length_of = self.tails.get, self.suffixes.get, self.joins.get, self._ends, self._follows, self.packed, self.length_of
+        out, path, last = {}, b"", []
         for word in sorted(words):  # the order of a depth-first walk
             raw = word.encode()
             top = min(len(path), len(raw))
             differ = int.from_bytes(path[:top]) ^ int.from_bytes(raw[:top])
             shared = top - (differ.bit_length() + 7 >> 3)
-            del last[shared:], ids[shared + 1 :]
+            del last[shared:]
             for end in range(shared + 1, len(raw) + 1):
                 tail = raw[end - TAIL : end] if end > TAIL else raw[:end]
                 tokens, more = tails(tail) or ends(tail)
@@ -157,28 +161,39 @@ class Bpe:
                         if not (follows(before, token) if fits is None else fits):
                             continue
                     last.append(token)
-                    ids.append(ids[end - length] + packed[token])
                     break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
-            path = raw
-            out[word] = ids[-1]
+            path, end, ids = raw, len(raw), []
+            while end:  # a prefix holds its last token alone; the ids of a word are read off backwards
+                token = last[end - 1]
+                ids.append(packed[token])
+                end -= length_of[token]
+            out[word] = b"".join(reversed(ids))
         return out
 
+    def _known(self, name: str) -> dict[str, bytes]:
+        """What is known by this name; emptied when it has grown past its limit in entries or (16 an entry) characters."""
+        known = getattr(self, name)
+        if len(known) > self.limit or self.held[name] > 16 * self.limit:
+            known.clear()
+            self.held[name] = 0
+        return known
+
     def learn_pieces(self, pieces) -> None:
         """Make the ids of these pre-tokens known; earlier ones may be forgotten."""
-        if len(self.ids) > self.limit:
-            self.ids.clear()
-        new = {p for p in pieces if p not in self.ids}
+        ids = self._known("ids")
+        new = {p for p in pieces if p not in ids}
         if new:
-            self.ids.update(self.encode_words(new))
+            ids.update(self.encode_words(new))
+            self.held["ids"] += sum(map(len, new))
 
     def learn(self, runs) -> None:
         """Make the ids of these distinct runs known; earlier ones may be forgotten."""
-        if len(self.runs) > self.limit:
-            self.runs.clear()
+        known = self._known("runs")
         plain, cut = [], {}
-        for r in runs - self.runs.keys():
+        for r in runs - known.keys():
+            self.held["runs"] += len(r)
             pieces = pieces_of(r)
             if len(pieces) == 1:
                 plain.append(r)
@@ -186,8 +201,8 @@ class Bpe:
                 cut[r] = pieces
         self.learn_pieces({p for pieces in cut.values() for p in pieces})
         for r, pieces in cut.items():
-            self.runs[r] = b"".join(map(self.ids.__getitem__, pieces))
-        self.runs.update(self.encode_words(plain))
+            known[r] = b"".join(map(self.ids.__getitem__, pieces))
+        known.update(self.encode_words(plain))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

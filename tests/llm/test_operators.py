@@ -197,6 +197,53 @@ def test_edits_touch_little():
     assert tree.encoded < 12 and tree.total == len(tree.text)
 
 
+def test_edits_of_long_texts_cost_what_they_touch():
+    count = lambda ps: [len(p) for p in ps]
+    tree = token_counts.CountTree("id 12345 " * 50_000, count)
+    for k in reversed(range(50_000)):
+        tree.replace(9 * k + 3, 9 * k + 8, "[masked]")
+    assert tree.text == "id [masked] " * 50_000 and tree.total == 12 * 50_000 and tree.encoded < 8 * 50_000
+    r = random.Random(3)
+    for alphabet in (["ab ", "c's", "  ", "\n", "é", "12", "we'll "], ["a", " ", "'", "l", "r", "e"]):
+        text = "".join(r.choice(alphabet) for _ in range(400))
+        tree = token_counts.CountTree(text, count)
+        for _ in range(300):
+            s = r.randrange(0, len(text) + 1)
+            e, new = min(len(text), s + r.choice([0, 1, 5, 60])), r.choice(["", " ", "'", "re", "ab " * 100])
+            text = text[:s] + new + text[e:]
+            tree.replace(s, e, new)
+            assert [p for b, _ in tree.blocks for p in b] == token_counts.PIECES.findall(text) and tree.total == len(text)
+        assert max(len(b) for b, _ in tree.blocks) <= 2 * token_counts.BLOCK
+
+
+def test_edits_over_awkward_tables(spark):
+    edits = "array<struct<start: int, end: int, text: string>>"
+    rows = [(1, "some words", "x", None), (1, "some words", "x", [(0, 4, None)]), (None, "a b", "y", [(-5, 1, "z"), None][:1]), (2, "", "y", [(0, 0, "one two")])]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, tokens_after string, edits {edits}")
+    got = sorted((x.doc_id or 0, x.n_edits, x.tokens_before, x.tokens_after) for x in token_counts.counted(docs).collect())
+    assert got == [(0, 1, 2, 2), (1, 0, 2, 2), (1, 1, 2, 1), (2, 1, 0, 2)]
+    assert token_counts.counted(docs.limit(0)).count() == 0
+
+
+def test_very_long_word():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.tokenizer_path())
+    t.no_truncation()
+    with open(bpe.tokenizer_path(), encoding="utf-8") as f:
+        mine = bpe.Bpe(f.read())
+    r = random.Random(1)
+    for word in ("".join(r.choices("abcdefghijklmnopqrstuvwxyzABC", k=300_000)), "a" * 50_000, "é" * 20_000):
+        assert np.frombuffer(mine.encode([word])[0], "<u4").tolist() == t.encode(word, add_special_tokens=False).ids
+    assert sum(map(len, mine.runs)) == 370_000
+
+
+def test_bpe_of_empty_and_clashing_tables(spark):
+    docs = spark.createDataFrame([(1, "some words", "mine"), (1, "some words", "mine"), (None, None, "mine")], "doc_id long, text string, n_tokens string")
+    assert sorted(x.n_tokens for x in bpe.digests(docs).collect()) == [0, 2, 2]
+    assert bpe.digests(docs.limit(0)).count() == 0 and bpe.encoded(docs.limit(0)).count() == 0
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
