@@ -69,7 +69,47 @@ def test_top_k(spark, dims):
         scores = sorted((-sum(a * b for a, b in zip(good[q], e)), i) for i, e in good.items() if i != q)[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
     empty = topk.integer_vectors(df.limit(0))
-    assert topk.top_k(empty, empty).count() == 0
+    assert topk.top_k(empty, empty).count() == 0 and topk.top_k(v, empty).count() == 0
+
+
+def test_top_k_bounds_prune_and_stay_exact():
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(40, 16)) * 300
+    points = np.rint(centres[r.integers(0, 40, 6000)] + r.normal(size=(6000, 16)) * 20).astype(np.int64)
+    ids = np.arange(6000) * 7
+    tree = topk.BallTree.load(topk.BallTree(ids, points).dump())
+    found = tree.search(ids[:64], points[:64], 5)
+    assert tree.scored < 64 * 6000 / 5
+    scores = points[:64] @ points.T
+    for i in range(64):
+        assert found[i] == [(-s, j) for s, j in sorted((-int(s), int(j)) for s, j in zip(scores[i], ids) if j != ids[i])[:5]]
+
+
+def test_top_k_of_hot_vectors_and_clusters(spark):
+    r = random.Random(6)
+    rows = [(i, [0.5, 1.0, -0.25] if i % 3 else [r.gauss(k % 4 * 3, 0.1) for k in range(3)]) for i in range(900)] + [(50, [9.0, 9.0, 9.0])]
+    docs = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, shard string")
+    v = topk.integer_vectors(docs)
+    assert topk.folded(v, 5).count() == 300 + 6 + 1
+    got = {}
+    for x in topk.top_k(v, v.where("vec_id % 50 = 0"), 5, 6).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    whole = [(i, [int(np.floor(256 * c)) for c in e]) for i, e in rows]
+    for q in range(0, 900, 50):
+        own = min(e for i, e in whole if i == q)
+        scores = sorted((-sum(a * b for a, b in zip(own, e)), i) for i, e in whole if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
+def test_top_k_refuses_what_no_long_holds(spark):
+    wide = lambda *values: spark.createDataFrame([(50 * k, [float(x), 1.0]) for k, x in enumerate(values)], "vec_id long, embedding array<double>")
+    v = topk.integer_vectors(wide(2.0**28, 2.0**18, -4.0))  # beyond floats, inside longs
+    got = {(x.query_id, x.vec_id): x.score for x in topk.top_k(v, v, 2, 1).collect()}
+    assert got[0, 50] == 2**36 * 2**26 + 65536 and got[50, 100] == 2**26 * -1024 + 65536
+    for far in (2.0**56, 2.0**24):
+        with pytest.raises(Exception, match="64 bits"):
+            v = topk.integer_vectors(wide(far, 2.0**24, 1.0))
+            topk.top_k(v, v.where("vec_id = 0"), 2, 1).collect()
 
 
 def test_language_id(spark):
