@@ -1,21 +1,25 @@
 """Removal of repeated byte strings with longest-previous-factor arrays (operator 1).
 
 A byte goes if a string of `least` bytes around it also starts in a document with a smaller id. Documents
-are dealt to blocks by a hash of the id. Every window of `least` bytes has an anchor, the 25-byte gram of
-lowest hash that starts in it, so equal windows have equal anchors, and the windows of one anchor form a run.
+are dealt to blocks of about BLOCK_BYTES by a hash. Every window of `least` bytes has an anchor, the 25-byte gram
+of lowest hash that starts in it, so equal windows have equal anchors, and the windows of one anchor form a run.
 
 1. A text that equals a whole earlier one goes whole and takes no further part.
-2. Each block sends the keys of its anchors, each once. Keys that two blocks sent go back to them.
+2. Each block sends the keys of its anchors, each once with the number of its different runs. Keys that two
+   blocks sent go back to them.
 3. Each block sends the runs of shared anchors (bytes, smallest document), equal runs once; the later
-   documents of an equal run lose all its windows on the spot. Anchors shared by many blocks send their
-   windows one by one, under a hash of the window, so that no group outgrows the number of blocks.
-4. Each shard settles equal runs likewise. Of what then differs under one anchor it sorts the suffixes, takes
+   documents of an equal run lose all its windows on the spot. Anchors with more than MANY runs send their
+   windows one by one, under a hash of the first PREFIX bytes, so that no group holds a hot anchor whole.
+4. Each shard settles equal runs likewise. Of what then differs under one key it sorts the suffixes, takes
    for each one the previous and the next in suffix order that belong to a smaller document, and keeps the
    longer common prefix: the longest previous factor, cut at `least` bytes. Windows that reach it are dropped.
 5. Each block cuts the dropped stretches out of its texts.
 
-Null texts count as empty. Rows with equal ids are separate documents, neither smaller; null ids are larger
-than all others. Texts under `least` bytes lose nothing.
+Hashes only propose: bytes are compared before a run is taken for equal to another (whole texts go by SHA-256).
+Null and empty texts have no bytes and lose none, as do texts under `least` bytes. Texts are treated whole; one
+longer than a block is a block's only one or shares it. Rows with equal ids are separate documents, neither
+smaller (a tie removes nothing); null ids are larger than all others. An empty table gives an empty table. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from .ngrams import found
 
 LEAST = 50
 GRAM = 25
-#: Blocks that share an anchor beyond this number send single windows.
-MANY = 48
+#: An anchor with more different runs than this, over all blocks, sends single windows by their first bytes.
+MANY, PREFIX = 4096, 40
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 8 << 20
 PIECE = 1 << 19
 SUFFIXES = 400_000
 NO_ID = np.iinfo(np.int64).max
@@ -133,6 +139,19 @@ def text_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
     return out
 
 
+def same_as_before(raw: np.ndarray, start: np.ndarray, length: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each item that is asked for are those of the item before it; lengths are at most 80."""
+    out = np.zeros(len(start), bool)
+    padded = np.concatenate([raw, np.zeros(80, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, 80)
+    which = np.flatnonzero(ask)
+    for a in range(0, len(which), 1 << 16):
+        i = which[a : a + (1 << 16)]
+        differ = (view[start[i]] != view[start[i - 1]]) & (np.arange(80) < length[i][:, None])
+        out[i] = (length[i] == length[i - 1]) & ~differ.any(axis=1)
+    return out
+
+
 def cuts(sorted_values: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values, and the end."""
     n = len(sorted_values)
@@ -156,23 +175,25 @@ def packed(target: np.ndarray, rows: np.ndarray) -> tuple[list, list]:
 
 
 def anchors(pdf: pd.DataFrame, copies: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """shard, block, data: the block's distinct anchor keys, six bytes each."""
+    """shard, block, data: the block's distinct anchor keys, six bytes each, and how many runs they have (one byte, at most 255)."""
     if not len(pdf):
         return pd.DataFrame({"shard": [], "block": [], "data": []})
-    key = np.unique(Block(pdf, copies).runs()[2])
-    shard, data = packed(split(key, shards), low_bytes(key))
+    key, n = np.unique(Block(pdf, copies).runs()[2], return_counts=True)
+    shard, data = packed(split(key, shards), np.concatenate([low_bytes(key), np.minimum(n, 255).astype(np.uint8)[:, None]], axis=1))
     return pd.DataFrame({"shard": shard, "block": int(pdf.block.iloc[0]), "data": data})
 
 
-def shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """block, data: for each block its keys that other blocks have too; a seventh byte says whether many do."""
-    key = from_low_bytes(np.frombuffer(b"".join(pdf.data), np.uint8).reshape(-1, 6))
-    block = np.repeat(pdf.block.to_numpy(), [len(d) // 6 for d in pdf.data])
+def shared_anchors(pdf: pd.DataFrame, most: int = MANY) -> pd.DataFrame:
+    """block, data: for each block its keys that other blocks have too; a seventh byte says whether they have more than `most` runs."""
+    rows = np.frombuffer(b"".join(pdf.data), np.uint8).reshape(-1, 7)
+    key, runs = from_low_bytes(rows[:, :6]), rows[:, 6].astype(np.int64)
+    block = np.repeat(pdf.block.to_numpy(), [len(d) // 7 for d in pdf.data])
     order = np.argsort(key, kind="stable")
-    key, block = key[order], block[order]
-    size = np.diff(cuts(key))
-    n = np.repeat(size, size)
-    rows = np.concatenate([low_bytes(key[n > 1]), (n[n > 1] > MANY).astype(np.uint8)[:, None]], axis=1)
+    key, block, runs = key[order], block[order], runs[order]
+    at = cuts(key)
+    size = np.diff(at)
+    n, total = np.repeat(size, size), np.repeat(np.add.reduceat(runs, at[:-1]) if len(runs) else size, size)
+    rows = np.concatenate([low_bytes(key[n > 1]), (total[n > 1] > most).astype(np.uint8)[:, None]], axis=1)
     target, data = packed(block[n > 1], rows)
     return pd.DataFrame({"block": target, "data": data})
 
@@ -208,10 +229,12 @@ def candidate_runs(pdf: pd.DataFrame, hits: pd.DataFrame, shards: int) -> pd.Dat
     n = np.concatenate([count[plain], np.ones(len(inner), np.int64)])
     r = np.concatenate([row[plain], np.repeat(row[one], count[one])])
     text = text_hashes(raw, start, n + LEAST - 1)
-    k = np.concatenate([key[plain], text[len(plain) :] & KEY])
+    alone = start[len(plain) :]
+    k = np.concatenate([key[plain], text_hashes(raw, alone, np.full(len(alone), PREFIX)) & KEY])
     order = np.lexsort((start, text, k))
     start, n, r, k, text = start[order], n[order], r[order], k[order], text[order]
-    head = np.r_[True, (text[1:] != text[:-1]) | (k[1:] != k[:-1])] if len(k) else np.zeros(0, bool)
+    alike = np.r_[False, (text[1:] == text[:-1]) & (k[1:] == k[:-1])] if len(k) else np.zeros(0, bool)
+    head = ~same_as_before(raw, start, n + LEAST - 1, alike)
     lead = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0)) if len(k) else np.zeros(0, np.int64)
     d, offset = block.rank[r], start - block.starts[r]
     later = d > d[lead]
@@ -324,7 +347,7 @@ def compared(raw, key, doc, row, offset, n, start, block) -> np.ndarray:
     text = text_hashes(raw, start, n + LEAST - 1)
     order = np.lexsort((doc, text, key))
     k, t = key[order], text[order]
-    head = np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])]
+    head = ~same_as_before(raw, start[order], (n + LEAST - 1)[order], np.r_[False, (t[1:] == t[:-1]) & (k[1:] == k[:-1])])
     lead = order[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
     whole = order[doc[order] > doc[lead]]
     done = [np.stack([block[whole], row[whole], offset[whole], offset[whole] + n[whole] + LEAST - 1], axis=1)]
@@ -383,10 +406,12 @@ def whole_copies(docs: DataFrame) -> DataFrame:
     return written(light.join(firsts, "digest").where("doc_id > first").select("print", "block"), "copies")
 
 
-def removed(docs: DataFrame, shards: int | None = None) -> DataFrame:
+def removed(docs: DataFrame, shards: int | None = None, many: int = MANY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row of docs (doc_id, text)."""
-    shards = shards or partitions(docs.sparkSession)
-    block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(3)), F.lit(2 * shards)).cast("int").alias("block")
+    if shards is None:  # from the bytes, so that a task's share does not grow with the table
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(partitions(docs.sparkSession), -(-size // (2 * BLOCK_BYTES)))
+    block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("doc_id").isNull(), F.xxhash64("text")), F.lit(3)), F.lit(2 * shards)).cast("int").alias("block")
     doc_id = F.col("doc_id").cast("long")
     rank = F.coalesce(doc_id, F.lit(NO_ID))  # pandas has no whole numbers with nulls
     docs = docs.select(doc_id.alias("doc_id"), rank.alias("rank"), doc_id.isNull().alias("no_id"), "text", F.concat_ws(":", doc_id, F.hex(F.xxhash64("text"))).alias("print"), block)
@@ -398,7 +423,7 @@ def removed(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
     texts = docs.select("rank", "no_id", "text", "print", "block").repartition(2 * shards, "block")
     one = texts.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(lambda a, b: anchors(a, b, shards), "shard long, block int, data binary")
-    two = one.groupBy("shard").applyInPandas(shared_anchors, "block int, data binary")
+    two = one.groupBy("shard").applyInPandas(lambda p: shared_anchors(p, many), "block int, data binary")
     runs = texts.groupBy("block").cogroup(with_copies(two)).applyInPandas(lambda a, b: candidate_runs(a, b, shards), "shard long, block int, heads binary, texts binary, done binary")
     drops = runs.groupBy("shard").applyInPandas(repeated, "block int, data binary")
     return texts.groupBy("block").cogroup(with_copies(drops)).applyInPandas(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

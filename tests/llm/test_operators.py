@@ -43,6 +43,23 @@ def test_substring_dedup(spark):
     assert substring_dedup.removed(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("many", [substring_dedup.MANY, 3])
+def test_substring_dedup_of_hot_passages(spark, many):
+    r = random.Random(12)
+    passage, line = words(3, 60), words(8, 12)
+    rows = [(i, words(500 + i, 15) + " " + passage[r.randrange(40) : 200 + r.randrange(100)] + " " + line + words(900 + i, 5)) for i in range(80)]
+    rows += [(i, words(77, 30_000)) for i in (200, 201)] + [(202, words(77, 30_000)[5000:90_000]), (None, passage), (None, passage)]
+    out = substring_dedup.removed(frame(spark, rows), 3, many).collect()
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, brute.sha(bytes(x.kept))) for x in out), key=str)
+    assert got == brute.substring_dedup(rows)
+
+
+def test_bytes_are_compared_before_they_are_taken_for_equal():
+    raw = np.frombuffer(b"abcdefgh" * 10 + b"abcdefgX" * 2, np.uint8)
+    start, length = np.array([0, 8, 80, 88, 72]), np.array([8, 8, 8, 8, 7])
+    assert substring_dedup.same_as_before(raw, start, length, np.ones(5, bool) & (np.arange(5) > 0)).tolist() == [False, True, False, True, False]
+
+
 def test_previous_factors():
     text = b"abracadabra_abracadabra_xyz"
     starts = np.arange(len(text) - 4)
