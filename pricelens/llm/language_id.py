@@ -11,7 +11,9 @@ language, picked by a hash of the id at a rate that comes from the language's nu
 a grouped sum; the trees, of bounded size by the bound on the sample, go to the tasks. Labels are taken to have
 few values. Every text is scored as a whole.
 
-`und` with score 0 is returned for null texts, texts without a letter, and where nothing could be learned.
+`und` with score 0 is returned for null and empty texts, texts without a letter, and where nothing could be
+learned (an empty table, or no label). Of languages with equal code lengths the first by name wins. Rows that
+repeat an id are texts of their own. Columns of docs named like the results are replaced.
 """
 
 from __future__ import annotations

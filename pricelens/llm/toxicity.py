@@ -1,15 +1,18 @@
 """Toxicity from class-conditional Kneser-Ney models (operator 8).
 
-Two interpolated Kneser-Ney models over the bytes of lower-cased text, one for each class, back off to shared
-continuation counts up to order SHARED. At 0 these are byte frequencies only: longer contexts have counts of
-their own class alone. Every byte gets the difference of its log-likelihoods. Three length-normalised measures
-of a text follow: the mean over its bytes, the largest sum over one word, and the mean over words of what a word
-has beyond EXCESS nats. A logistic curve over these, fitted on labelled rows that the models did not see, gives
-the score.
+Two interpolated Kneser-Ney models over the bytes of lower-cased text, one for each class. Contexts of up to
+SHARED bytes have one table of continuation counts for both classes, to which the longer contexts of each class
+back off, so that a rare expression is smoothed by what both classes know. Every byte gets the difference of its
+log-likelihoods. Three length-normalised measures of a text follow: the mean over its bytes, the largest sum over
+one word, and the mean over words of what a word has beyond EXCESS nats; words longer than STRETCH bytes count as
+several, so that no sum grows with the length of what it is taken over. A logistic curve over these, fitted on
+labelled rows that the models did not see, gives the score.
 
 Models and curve are fitted on a bounded sample of labelled rows: whole texts of about `sample` rows of each
-class. Texts are scored as a whole. Null and empty texts have all measures 0. With no labelled row of some
-class, every score is 0.
+class. Texts are scored as a whole, however long. Null and empty texts have all measures 0. With no labelled row
+of some class (an empty table, say), every score is 0. A score of one half or more predicts 1. Rows that repeat an
+id are scored each for itself; an id with several labels counts as toxic if one says so. Columns of docs named
+like the results are replaced.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from .ngrams import GramScores, KneserNey, chunks, grams
 
 SAMPLE = 8000
 ORDER = 4
-SHARED = 0
+SHARED = 2
 EXCESS = 6.0
-MOST = 60.0
+STRETCH = 16
 
 
 def classes(counts: dict, order: int, shared: int) -> KneserNey:
@@ -58,6 +61,8 @@ def measures(texts: list, scores: GramScores, order: int) -> np.ndarray:
         begins = (last == 32) | (last == 10)
         begins[first[lengths > 0]] = True
         at = np.flatnonzero(begins)
+        inside = np.arange(len(code)) - np.repeat(at, np.diff(np.r_[at, len(code)]))
+        at = np.flatnonzero(inside % STRETCH == 0)
         word = np.add.reduceat(value, at)
         owner = np.repeat(np.arange(len(part)), lengths)[at]
         n_words = np.maximum(np.bincount(owner, minlength=len(part)), 1)
@@ -65,7 +70,7 @@ def measures(texts: list, scores: GramScores, order: int) -> np.ndarray:
         rows[:, 0] = np.bincount(owner, word, len(part)) / np.maximum(lengths, 1)
         top = np.full(len(part), -np.inf)
         np.maximum.at(top, owner, word)
-        rows[:, 1] = np.where(lengths > 0, np.clip(top, -MOST, MOST), 0)
+        rows[:, 1] = np.where(lengths > 0, top, 0)
         rows[:, 2] = np.bincount(owner, np.maximum(word - EXCESS, 0), len(part)) / n_words
     return out
 

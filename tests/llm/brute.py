@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -58,6 +59,53 @@ def near_duplicates(rows):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
+def grams(texts, order):
+    """All (context bytes, byte) of the texts, each begun by zero bytes."""
+    padded = [b"\0" * order + t for t in texts]
+    return [p[i : i + order + 1] for p in padded for i in range(len(p) - order)]
+
+
+def kneser_ney(by_class, order, shared, discount=0.75):
+    """A function (class, gram) -> log probability of the gram's last byte; by_class: {class: texts}."""
+    own = {c: grams(ts, order) for c, ts in by_class.items()}
+    both = [g for gs in own.values() for g in gs]
+
+    def counts(gs, k):
+        return Counter(g[-k - 1 :] for g in gs) if k == order else Counter(g[-k - 1 :] for g in {g[-k - 2 :] for g in gs})
+
+    tables = {(c, k): counts(both if k <= shared else gs, k) for c, gs in own.items() for k in range(order + 1)}
+
+    def log_p(c, gram):
+        p = 1 / 256
+        for k in range(order + 1):
+            after = {g: n for g, n in tables[c, k].items() if g[:-1] == gram[-k - 1 : -1]}
+            if after:
+                p = (max(after.get(gram[-k - 1 :], 0) - discount, 0) + discount * len(after) * p) / sum(after.values())
+        return math.log(p)
+
+    return log_p
+
+
+def code_length(texts, order):
+    """A function gram -> bits of its last byte by partial matching (method C, with exclusion)."""
+    seen = grams(texts, order)
+    tables = [Counter(g[-k - 1 :] for g in seen) for k in range(order + 1)]
+
+    def bits(gram):
+        out, ruled = 0.0, set()
+        for k in range(order, -1, -1):
+            after = {g[-1]: n for g, n in tables[k].items() if g[:-1] == gram[-k - 1 : -1]}
+            left = {s: n for s, n in after.items() if s not in ruled}
+            if gram[-1] in left:
+                return out + math.log2((sum(left.values()) + len(left)) / left[gram[-1]])
+            if left:
+                out += math.log2((sum(left.values()) + len(left)) / len(left))
+            ruled |= set(after)
+        return out + math.log2(max(256 - len(ruled), 1))
+
+    return bits
+
+
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m.group(2)) >= 12),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 18),

@@ -153,6 +153,38 @@ def test_code_lengths_are_exact():
         assert abs((2.0 ** -tree.bits(symbols)).sum() - 1) < 1e-9
 
 
+def test_models_against_plain_versions():
+    from pricelens.llm.ngrams import ContextTree, KneserNey, summed
+    from pricelens.llm.ngrams import grams as packed
+
+    pieces = {"1": [b"abracadabra abra", "h\u00e9 h\u00e9".encode()], "0": [b"banana abba", b"", b"cab"]}
+    probes = brute.grams([b"abracab zq", b"nab\xff"], 3)
+    keys = np.array([int.from_bytes(g, "big") for g in probes], np.uint64)
+    each = {c: np.unique(packed(ts, 3)[0], return_counts=True) for c, ts in pieces.items()}
+    for shared in (0, 1, 2):
+        model = toxicity.classes({c: summed(k, n) for c, (k, n) in each.items()}, 3, shared)
+        plain = brute.kneser_ney({"1": pieces["1"], "0": pieces["0"]}, 3, shared)
+        want = [[plain(c, g) for g in probes] for c in "10"]
+        assert np.allclose(model.nats(keys), want)
+    for c, texts in pieces.items():
+        plain = brute.code_length(texts, 3)
+        assert np.allclose(ContextTree(*summed(*each[c]), 3).bits(keys), [plain(g) for g in probes])
+    assert KneserNey(*summed(*each["1"])[:1], [each["1"][1]], 3, 1).nats(keys).shape == (1, len(keys))
+
+
+def test_models_over_awkward_tables(spark):
+    docs = spark.createDataFrame([(1, "some words", "mine", "x"), (1, "some words", "mine", "x"), (None, None, "mine", "x"), (2, "lang " * 60_000, "mine", "y")], "doc_id long, text string, score string, lang_pred string")
+    counts = language_id.fit(docs, "lang_pred")
+    out = language_id.predict(docs, counts).collect()
+    assert sorted(x.lang_pred for x in out) == ["und", "x", "x", "y"] and language_id.predict(docs.limit(0), counts).count() == 0
+    assert language_id.fit(docs.limit(0), "lang_pred") == {} and toxicity.fit(docs.limit(0).withColumn("toxic", docs.doc_id)) is None
+    fitted = toxicity.fit(spark.createDataFrame([(i, "bad words" if i % 2 else "good things", i % 2) for i in range(60)], "doc_id long, text string, toxic int"))
+    out = toxicity.score(docs, fitted)
+    assert out.count() == 4 and toxicity.score(docs.limit(0), fitted).count() == 0 and dict(out.dtypes)["score"] == "double"
+    long = np.array([x.score for x in toxicity.score(spark.createDataFrame([(1, "q" * n) for n in (1000, 400_000)], "doc_id long, text string"), fitted).collect()])
+    assert abs(long[0] - long[1]) < 0.05  # a word's length does not drive its score
+
+
 def test_near_dedup(spark):
     base = words(50, 150, 5000)
     rows = [(i, t) for i, t in awkward() if i is not None]
