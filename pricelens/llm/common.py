@@ -33,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pricelens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -12,8 +12,13 @@ in several components after that, those outside the largest one are compared wit
 blocks, for the first few trees and then, with what these joined, for the others. Candidates whose signatures agree too little are
 dropped (two bits of each minimum; at similarity 0.75 a chance of about 1e-5 for a pair), the rest are confirmed on the full sets.
 
-Texts without words, and null texts, are linked with nothing. Rows that share an id count as one document;
-a row with a null id is linked with nothing, has a null component and is kept.
+A region never gets shallower than four minima: what agrees in fewer is below the threshold but for a chance that
+the 40 trees make up for. Texts are shingled whole, a very long one's minima in parts.
+
+Texts without words, empty and null texts are linked with nothing. Rows that share an id count as one document; of
+sets whose smallest id is the same, the one with the smallest digest stands for it. A row with a null id is
+linked with nothing, has a null component and is kept. An empty table gives an empty table; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +41,8 @@ SHARE = 75
 TREES, DEPTH = 40, 4
 SMALL = 8
 NEAR = 3
-CHUNK = 1024
+#: Rows of a block in a dense region, at most about: nodes outside the largest component, and others.
+CHUNK, REST = 512, 256
 #: Trees whose dense regions are compared first.
 EARLY = 4
 #: Ids that are broadcast at most.
@@ -71,6 +77,10 @@ def shingle_sets(texts: list) -> list[np.ndarray]:
     return out
 
 
+def digest(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     low = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 4096):  # a long text's set in parts
@@ -102,7 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     key = tree.copy()
                     for j in range(DEPTH):
                         key = mixed(key * np.uint64(31) + first[:, j])
-                    set_ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    set_ids.append(digest(s.tobytes()))
                     prefixes.append(key.view(np.int64))
                     two = ((mixed(low) >> np.uint64(32)) & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
                     minima.append((two << np.array([6, 4, 2, 0], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes())
@@ -227,20 +237,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles of the documents whose ids are in nodes."""
+def sets_of(docs: DataFrame, nodes: DataFrame, digests: DataFrame) -> DataFrame:
+    """node, shingles of the documents whose ids are in nodes; digests: node, set_id of the set that stands for each."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())], ["node", "shingles"])
+                made = [s.tobytes() for s in shingle_sets(texts[a:b])]
+                good = [i for i, s in enumerate(made) if digest(s) == wanted[a + i]]  # rows that repeat an id may have other texts
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a + i] for i in good], pa.int64()), pa.array([made[i] for i in good], pa.binary())], ["node", "shingles"])
 
-    nodes = written(nodes, "wanted")
-    if nodes.count() <= FEW:  # 8 bytes each: texts stay where they are; beyond that both sides are shuffled
+    nodes = written(nodes.join(digests, "node"), "wanted")
+    if nodes.count() <= FEW:  # 24 bytes each: texts stay where they are; beyond that both sides are shuffled
         nodes = F.broadcast(nodes)
-    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
-    return wanted.mapInArrow(run, "node long, shingles binary")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node").select("node", "text", "set_id")
+    return wanted.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])  # equal ones only
 
 
 def merging(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -290,9 +302,9 @@ def blocks(placed: DataFrame) -> DataFrame:
     main = counts.groupBy("key").agg(F.max(F.struct("of", "component")).alias("main"), F.max("n").alias("n"))
     open_ = written(main.where("main.of < n").selectExpr("key", "main.component as main", "n - main.of as outside"), "open")
     members = placed.join(open_, "key")
-    chunks = lambda rows: F.ceil(rows / CHUNK).cast("int")
+    chunks = lambda rows, size: F.ceil(rows / size).cast("int")
     chunk = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), n).cast("int")
-    lows, highs = chunks(F.col("outside")), chunks(F.col("n"))
+    lows, highs = chunks(F.col("outside"), CHUNK), chunks(F.col("n"), REST)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     fields = ["key", "lo", "hi", "part", "node", "component"]
     probes = members.where("component <> main").withColumns({"part": F.lit(0), "lo": chunk(lows)}).withColumn("hi", every(highs))
@@ -300,11 +312,11 @@ def blocks(placed: DataFrame) -> DataFrame:
     return probes.select(*fields).unionByName(rest.select(*fields))
 
 
-def dense_links(dense: DataFrame, parts: DataFrame, docs: DataFrame) -> DataFrame:
+def dense_links(dense: DataFrame, parts: DataFrame, docs: DataFrame, digests: DataFrame) -> DataFrame:
     """Links that join components within dense regions (rows of key, node, n); parts: node, component."""
     placed = written(dense.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "dense")
     rows = written(blocks(placed), "blocks")
-    sets = written(sets_of(docs, rows.select("node").distinct()), "dense-sets")
+    sets = written(sets_of(docs, rows.select("node").distinct(), digests), "dense-sets")
     return rows.join(sets, "node").groupBy("key", "lo", "hi").applyInPandas(merging, "a long, b long")
 
 
@@ -315,17 +327,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = all_.where("set_id is not null and doc_id is not null")
     firsts = written(usable.groupBy("set_id").agg(F.min("doc_id").alias("node")), "firsts")
     nodes = usable.join(firsts.withColumnRenamed("set_id", "_set"), (F.col("set_id") == F.col("_set")) & (F.col("doc_id") == F.col("node")))
-    nodes = written(nodes.select("node", "prefixes", "minima").dropDuplicates(["node"]), "nodes")
+    nodes = nodes.groupBy("node").agg(F.min(F.struct("set_id", "prefixes", "minima")).alias("of")).select("node", "of.*")
+    nodes = written(nodes, "nodes")
+    digests = nodes.select("node", "set_id")
     keys = nodes.select("node", F.posexplode("prefixes").alias("tree", "key"))
     shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     regions = written(keys.join(shared, "key"), "regions")
     pairs = written(neighbours(regions.join(nodes.select("node", "minima"), "node")), "pairs")
-    sets = sets_of(docs, pairs.selectExpr("explode(array(a, b)) as node").distinct())
-    links = written(confirmed(pairs, written(sets.dropDuplicates(["node"]), "sets")), "links")
+    sets = sets_of(docs, pairs.selectExpr("explode(array(a, b)) as node").distinct(), digests)
+    links = written(confirmed(pairs, written(sets, "sets")), "links")
     parts = written(components(links), "parts")
     dense = regions.where(F.col("n") > SMALL).select("key", "tree", "node", "n")
     for trees in (F.col("tree") < EARLY, F.col("tree") >= EARLY):  # regions that the first trees' links closed are not compared again
-        more = written(dense_links(dense.where(trees).drop("tree"), parts, docs), "dense-links")
+        more = written(dense_links(dense.where(trees).drop("tree"), parts, docs, digests), "dense-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = written(components(links), "parts")

@@ -204,6 +204,25 @@ def test_near_dedup(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_dedup_loses_no_link(spark):
+    """Many groups around the threshold: recall of what brute force links, and of repeated ids with other texts."""
+    r, rows = random.Random(40), []
+    for g in range(150):
+        base = [f"g{g}w{r.randrange(10_000)}" for _ in range(r.randrange(60, 200))]
+        for c in range(4):
+            w = list(base)
+            for _ in range(r.randrange(0, max(2, len(w) // 30))):
+                w[r.randrange(len(w))] = f"own{r.randrange(10**6)}"
+            rows.append((10 * g + c, " ".join(w)))
+    want = brute.near_duplicates(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(docs).collect()}
+    assert got == want and 150 < len({c for _, c in want.values()}) < 600
+    twice = spark.createDataFrame([(1, rows[0][1]), (1, rows[4][1]), (2, rows[0][1]), (3, rows[4][1])], docs.schema)
+    first, again = (sorted(map(tuple, near_dedup.near_duplicates(d).collect())) for d in (twice, twice.orderBy(near_dedup.F.desc("text"))))
+    assert first == again and all(x[2] == 1 for x in first)
+
+
 def test_dense_region_in_blocks(monkeypatch):
     import pandas as pd
 
@@ -246,7 +265,7 @@ def test_dense_region_sends_only_outsiders_to_all_blocks(spark):
     rows = [(1, i, n, component.get(i, 0)) for i in range(n)] + [(2, i, 50, 0) for i in range(50)]
     out = near_dedup.blocks(spark.createDataFrame(rows, "key long, node long, n long, component long")).collect()
     assert {x.key for x in out} == {1}
-    assert len(out) == n + 3 * 5
+    assert len(out) == n + 3 * -(-n // near_dedup.REST)
     met = {}
     for x in out:
         met.setdefault((x.lo, x.hi), ([], []))[x.part].append(x.node)
@@ -454,6 +473,18 @@ def test_mixing(spark):
     assert mixing.copies(d.limit(0)).count() == 0
     docs = spark.createDataFrame(rows, SCHEMA)
     assert mixing.mixed(docs).count() == sum(x.copies for x in out) and mixing.mixed(docs).columns == docs.columns
+    assert mixing.mixed(docs.limit(0)).count() == 0 and sorted(map(str, mixing.mixed(docs).collect())) == sorted(map(str, mixing.mixed(docs.orderBy("text")).collect()))
+
+
+def test_targets_of_many_sources(spark):
+    r = random.Random(5)
+    sizes = {f"d{k}": r.choice([0, 1, 5, 100, 100_000]) for k in range(3000)} | {None: 70, "\0": 30}
+    rows = [(s, n - n // 2) for s, n in sizes.items()] + [(s, n // 2) for s, n in sizes.items()]
+    got = {x.source: (x.source_size, x.target) for x in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    want = brute.targets(sizes)
+    assert got.keys() == sizes.keys() and all(got[s][0] == sizes[s] and abs(got[s][1] - want[s]) < 1e-6 * max(1, want[s]) for s in sizes)
+    apart = spark.createDataFrame([(i, (None, "\0")[i % 2], i % 2 * 9 + 1) for i in range(100)], "doc_id long, source string, size long")
+    assert {(x.source, x.source_size) for x in mixing.copies(apart).collect()} == {(None, 50), ("\0", 500)}
 
 
 def test_quality_rules(spark):
