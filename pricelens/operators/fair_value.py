@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,67 +60,111 @@ def cross_rates(spark, sf_dir):
 
 
 FAIR = """
-ex as (select *, row_number() over (partition by identity order by age, price desc, source) as k, count(*) filter (age <= 90) over (partition by identity) as n90 from sales where age >= 0 and age <= 365 and price > 0),
-ag as (select * from (select p_brand || '|' || p_type as identity, p_name as family, avg(p_retailprice * p_size / 10) as central, count(*) as n, (min(p_partkey) % 40)::double as age,
-         row_number() over (partition by p_brand || '|' || p_type order by (min(p_partkey) % 40), count(*) desc, p_name) as k from part group by p_brand, p_type, p_name) where k = 1 and age <= 30),
-fv as (select coalesce(e.identity, ag.identity) as identity, e.n90, ag.central, ag.n as agg_n, e.recent, e.lo, e.hi, e.one, e.n10, e.late
-  from (select identity, max(n90) as n90, median(price) filter (age <= 90 and k <= 10) as recent, min(price) filter (age <= 90 and k <= 10) as lo, max(price) filter (age <= 90 and k <= 10) as hi,
-          max(price) filter (age <= 90) as one, count(*) filter (k <= 10) as n10, median(price) filter (k <= 10) as late from ex group by identity) e full join ag on e.identity = ag.identity),
-fair as (select identity, case when n90 >= 2 then 'recent sales' when n90 = 1 and agg_n >= 3 and greatest(one, central) / least(one, central) <= 1.25 then 'sale and aggregate'
-    when central is not null and agg_n >= 3 then 'strong aggregate' when central is not null then 'weak aggregate' when n10 >= 3 then 'older sales' end as method,
-  case when n90 >= 2 then recent when n90 = 1 and agg_n >= 3 and greatest(one, central) / least(one, central) <= 1.25 then (one + central) / 2
-    when central is not null then central when n10 >= 3 then late end as value from fv)"""
+ex as (select part_id as identity, age, price, source, case when order_id % 7 = 0 then 2.5::double when order_id % 5 > 0 then 0.9::double + (order_id % 4) / 10.0::double end as factor,
+         row_number() over (partition by part_id order by age, price desc, source, order_id) as k from sales where age >= 0 and age <= 365 and price > 0),
+ag0 as (select listing_id as identity, 'a' as source, 'x' as family, listing_id % 45 as agg_age, listing_id % 7 as n, price as central, case when listing_id % 3 > 0 then price * 0.9::double end as lo, case when listing_id % 4 > 0 then price * 1.1::double end as hi from listings
+  union all select listing_id, 'b', case when listing_id % 2 = 0 then 'x' else 'y' end, (listing_id * 2) % 45, (listing_id + 3) % 7, price * 1.05::double, null, null from listings),
+ag as (select * from (select *, row_number() over (partition by identity order by agg_age, n desc, source) as r from ag0 where n > 0 and agg_age <= 30) where r = 1),
+top as (select identity, count(*) filter (age <= 90) as n90, median(price) filter (age <= 90) as recent, min(price) filter (age <= 90) as lo90, max(price) filter (age <= 90) as hi90,
+          count(*) filter (factor between 0.5 and 2) as nf, median(price * factor) filter (factor between 0.5 and 2) as late, min(price * factor) filter (factor between 0.5 and 2) as lof, max(price * factor) filter (factor between 0.5 and 2) as hif
+        from ex where k <= 10 group by identity),
+fv as (select coalesce(t.identity, ag.identity) as identity, coalesce(n90, 0) as n90, recent, lo90, hi90, coalesce(nf, 0) as nf, late, lof, hif, ag.n, ag.n // 2 as agg90, central, coalesce(lo, central) as lo, coalesce(hi, central) as hi from top t full join ag on t.identity = ag.identity),
+how as (select *, case when n90 >= 2 then 'recent sales' when n90 = 1 and n >= 3 and greatest(recent, central) / least(recent, central) <= 1.25 then 'sale and aggregate'
+    when central is not null then 'aggregate' when nf >= 3 then 'adjusted older sales' end as method from fv),
+fair as (select identity, method, case method when 'recent sales' then recent when 'sale and aggregate' then (recent + central) / 2 when 'aggregate' then central when 'adjusted older sales' then late end as value,
+  case method when 'recent sales' then lo90 when 'sale and aggregate' then least(recent, lo) when 'aggregate' then least(lo, central) when 'adjusted older sales' then lof end as low,
+  case method when 'recent sales' then hi90 when 'sale and aggregate' then greatest(recent, hi) when 'aggregate' then greatest(hi, central) when 'adjusted older sales' then hif end as high,
+  case method when 'recent sales' then n90 when 'sale and aggregate' then 1 + n when 'aggregate' then n when 'adjusted older sales' then nf end as evidence,
+  case method when 'recent sales' then n90 when 'sale and aggregate' then 1 + greatest(agg90, least(n, 1)) when 'aggregate' then agg90 when 'adjusted older sales' then 0 end as recent,
+  case method when 'aggregate' then case when n >= 3 then 'strong' else 'weak' end when 'adjusted older sales' then 'moderate' when 'recent sales' then 'strong' when 'sale and aggregate' then 'strong' end as quality,
+  method <> 'aggregate' or n >= 3 as safe from how where method is not null)"""
 
 
 def aggregates(spark, sf_dir):
-    """Provider aggregates from listings: one for each title of an identity, with its age; titles are correlated families."""
+    """Two provider aggregates of each listing, of one correlated family for every second: source, age, sales, central and, where known, range."""
     p = listings(spark, sf_dir)
-    return p.groupBy("identity", F.col("title").alias("family")).agg(F.avg("price").alias("central"), F.count("price").alias("n"), F.pmod(F.min("listing_id"), F.lit(40)).cast("double").alias("agg_age"))
-
-
-def best_aggregate(rows):
-    order = Window.partitionBy("identity").orderBy("agg_age", F.col("n").desc(), "family")
-    return rows.withColumn("k", F.row_number().over(order)).where("k = 1 and agg_age <= 30").drop("k")
+    i, price, none = F.col("listing_id"), F.col("price"), F.lit(None).cast("double")
+    first = p.select(i.alias("identity"), F.lit("a").alias("source"), F.lit("x").alias("family"), (i % 45).alias("agg_age"), (i % 7).alias("n"), price.alias("central"), F.when(i % 3 > 0, price * 0.9).alias("lo"), F.when(i % 4 > 0, price * 1.1).alias("hi"))
+    second = p.select(i.alias("identity"), F.lit("b").alias("source"), F.when(i % 2 == 0, "x").otherwise("y").alias("family"), (i * 2 % 45).alias("agg_age"), ((i + 3) % 7).alias("n"), (price * 1.05).alias("central"), none.alias("lo"), none.alias("hi"))
+    return first.unionByName(second).withColumn("agg90", F.floor(F.col("n") / 2))
+
+
+def best_aggregate(rows: DataFrame, within: float = 30.0) -> DataFrame:
+    """The aggregate to trust of each identity: newest, then with most sales. One of each correlated family speaks for it,
+    and the newest of all is the newest of its family, so one ranking serves both."""
+    good = rows.where((F.col("n") > 0) & (F.col("agg_age") <= within) & (F.least("central", F.coalesce("lo", "central"), F.coalesce("hi", "central")) > 0))
+    order = Window.partitionBy("identity").orderBy("agg_age", F.col("n").desc(), "source")
+    return good.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+
+
+def fair_values_of(sold: DataFrame, known: DataFrame, recent: float = 90, history: float = 365, most: int = 10) -> DataFrame:
+    """Fair value of each identity from exact sales (identity, age, price, source, order_id, factor) and provider aggregates.
+
+    The newest `most` sales decide, so an identity's rows are cut to these before they meet: two recent sales give
+    their median; one that agrees with an aggregate of three sales within a quarter is averaged with it; else an
+    aggregate stands alone; else three sales with a proven time factor in [0.5, 2]. No evidence, no row.
+    """
+    order = Window.partitionBy("identity").orderBy("age", F.col("price").desc(), "source", "order_id")
+    newest = sold.where((F.col("age") >= 0) & (F.col("age") <= history) & (F.col("price") > 0)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    now, old = F.col("age") <= recent, F.col("factor").between(0.5, 2)
+    price, moved = F.when(now, F.col("price")), F.when(old, F.col("price") * F.col("factor"))
+    top = newest.groupBy("identity").agg(
+        F.count_if(now).alias("n90"), F.median(price).alias("sold"), F.min(price).alias("lo90"), F.max(price).alias("hi90"),
+        F.count_if(old).alias("nf"), F.median(moved).alias("late"), F.min(moved).alias("lof"), F.max(moved).alias("hif"),
+    )
+    rows = top.join(best_aggregate(known).drop("source"), "identity", "full_outer").fillna(0, ["n90", "nf"])
+    c = F.col
+    rows = rows.withColumns({"lo": F.coalesce("lo", "central"), "hi": F.coalesce("hi", "central")})
+    paired = (c("n90") == 1) & (c("n") >= 3) & (F.greatest("sold", "central") / F.least("sold", "central") <= 1.25)
+    method = F.when(c("n90") >= 2, "recent sales").when(paired, "sale and aggregate").when(c("central").isNotNull(), "aggregate").when(c("nf") >= 3, "adjusted older sales")
+    rows = rows.withColumn("method", method).where("method is not null")
+
+    def by(sales, pair, aggregate, older):
+        m = c("method")
+        return F.when(m == "recent sales", sales).when(m == "sale and aggregate", pair).when(m == "aggregate", aggregate).otherwise(older)
+
+    return rows.select(
+        "identity", "method", by(c("sold"), (c("sold") + c("central")) / 2, c("central"), c("late")).alias("value"),
+        by(c("lo90"), F.least("sold", "lo"), F.least("lo", "central"), c("lof")).alias("low"), by(c("hi90"), F.greatest("sold", "hi"), F.greatest("hi", "central"), c("hif")).alias("high"),
+        by(c("n90"), 1 + c("n"), c("n"), c("nf")).cast("long").alias("evidence"), by(c("n90"), 1 + F.greatest(c("agg90"), F.least(c("n"), F.lit(1))), c("agg90"), F.lit(0)).cast("long").alias("recent"),
+        by(F.lit("strong"), F.lit("strong"), F.when(c("n") >= 3, "strong").otherwise("weak"), F.lit("moderate")).alias("quality"), ((c("method") != "aggregate") | (c("n") >= 3)).alias("safe"),
+    )
 
 
 def fair_values(spark, sf_dir):
-    w = Window.partitionBy("identity")
-    ex = sales(spark, sf_dir).where("age between 0 and 365 and price > 0")
-    ex = ex.withColumns({"k": F.row_number().over(w.orderBy("age", F.col("price").desc(), "source")), "n90": F.count_if(F.col("age") <= 90).over(w)})
-    recent = lambda f: f(F.when((F.col("age") <= 90) & (F.col("k") <= 10), F.col("price")))
-    e = ex.groupBy("identity").agg(
-        F.max("n90").alias("n90"), recent(F.median).alias("recent"), F.max(F.when(F.col("age") <= 90, F.col("price"))).alias("one"),
-        F.count_if(F.col("k") <= 10).alias("n10"), F.median(F.when(F.col("k") <= 10, F.col("price"))).alias("late"),
-    )
-    rows = e.join(best_aggregate(aggregates(spark, sf_dir)), "identity", "full_outer")
-    one, central = F.col("one"), F.col("central")
-    paired = (F.col("n90") == 1) & (F.col("n") >= 3) & (F.greatest(one, central) / F.least(one, central) <= 1.25)
-    method = F.when(F.col("n90") >= 2, "recent sales").when(paired, "sale and aggregate").when(central.isNotNull() & (F.col("n") >= 3), "strong aggregate").when(central.isNotNull(), "weak aggregate").when(F.col("n10") >= 3, "older sales")
-    value = F.when(F.col("n90") >= 2, F.col("recent")).when(paired, (one + central) / 2).when(central.isNotNull(), central).when(F.col("n10") >= 3, F.col("late"))
-    return rows.select("identity", method.alias("method"), value.alias("value"))
+    o = F.col("order_id")
+    factor = F.when(o % 7 == 0, 2.5).when(o % 5 > 0, 0.9 + (o % 4) / 10.0)
+    sold = sales(spark, sf_dir).select(F.col("part_id").alias("identity"), "age", "price", "source", "order_id", factor.alias("factor"))
+    return fair_values_of(sold, aggregates(spark, sf_dir))
 
 
-@query("AGG-38", "JOI-07", "DAT-13", "FLT-08", "FLT-10", sql=with_sales("\nselect identity, method, round(value, 6) as value from fair", FAIR))
+@query("AGG-38", "JOI-07", "DAT-13", "FLT-08", "FLT-10", sql=with_sales("""
+select identity, method, round(value + 1e-9, 4) as value, round(low + 1e-9, 4) as low, round(high + 1e-9, 4) as high, evidence::bigint as evidence, recent::bigint as recent, quality, safe from fair""", LISTINGS_SQL, FAIR))
 def fair_value(spark, sf_dir):
-    return fair_values(spark, sf_dir).withColumn("value", F.round("value", 6))
+    near = lambda x: F.round(F.col(x) + 1e-9, 4).alias(x)
+    return fair_values(spark, sf_dir).select("identity", "method", near("value"), near("low"), near("high"), "evidence", "recent", "quality", "safe")
 
 
-@query("AGG-37", "AGG-41", sql=with_sales("\nselect identity, family, round(central, 4) as central, n, age from ag", FAIR))
+@query("AGG-37", sql=with_sales("\nselect identity, source, family, round(central + 1e-9, 4) as central, n, agg_age as age from ag", LISTINGS_SQL, FAIR))
 def best_aggregates(spark, sf_dir):
-    return best_aggregate(aggregates(spark, sf_dir)).select("identity", "family", F.round("central", 4).alias("central"), "n", F.col("agg_age").alias("age"))
+    return best_aggregate(aggregates(spark, sf_dir)).select("identity", "source", "family", F.round(F.col("central") + 1e-9, 4).alias("central"), "n", F.col("agg_age").alias("age"))
 
 
-@query("WIN-01", "JOI-08", "FLT-09", "TOP-09", "TOP-14", "NST-06", sql=with_sales("""
-select identity, listing_id, rank, round((all_in / first_value(all_in) over (partition by identity order by rank) - 1) * 100, 4) as gap, round((value - all_in) / value * 100, 4) as discount, (value - all_in) / value * 100 + 1e-9 >= 30 as notify
-from (select o.*, value, row_number() over (partition by o.identity order by all_in, seller, listing_id) as rank
-      from (select *, (price * (1 + fee_rate) + flat) / per_eur as all_in from offers join rates using (currency)) o join fair f on o.identity = f.identity
-      where evidence in ('fixed', 'ending auction') and all_in is not null and value is not null)""", FAIR, LISTINGS_SQL, OFFERS_SQL, RATES_SQL))
+@query("WIN-01", "JOI-08", "FLT-09", "TOP-09", "TOP-14", sql=with_sales("""
+select identity, listing_id, rank, round((all_in / first_value(all_in) over (partition by identity order by rank) - 1) * 100 + 1e-9, 4) as gap, round((value - all_in) / value * 100 + 1e-9, 4) as discount, safe and (value - all_in) / value * 100 + 1e-9 >= 30 as notify
+from (select o.identity, o.listing_id, all_in, value, safe, row_number() over (partition by o.identity order by all_in, seller, listing_id) as rank
+      from (select * replace ((listing_id // 3)::bigint as identity), (price * (1 + fee_rate) + flat) / per_eur as all_in from offers join rates using (currency)) o join fair f on o.identity = f.identity
+      where evidence in ('fixed', 'ending auction') and all_in is not null and value > 0)""", LISTINGS_SQL, FAIR.replace(" as evidence", " as evidence_count"), OFFERS_SQL, RATES_SQL))
 def ranked_offers(spark, sf_dir):
-    o = offers(spark, sf_dir).join(rates(spark), "currency").withColumn("all_in", all_in(F.col("price"), F.col("fee_rate"), F.col("flat"), F.col("per_eur")))
-    rows = o.where("evidence in ('fixed', 'ending auction') and all_in is not null").join(fair_values(spark, sf_dir).where("value is not null"), "identity")
+    """Offers of an identity (three listings each) by price with fees, against its fair value."""
+    o = offers(spark, sf_dir).withColumn("identity", F.floor(F.col("listing_id") / 3))
+    o = o.join(rates(spark), "currency").withColumn("all_in", all_in(F.col("price"), F.col("fee_rate"), F.col("flat"), F.col("per_eur")))
+    fair = fair_values(spark, sf_dir).where("value > 0").select("identity", "value", "safe")
+    rows = o.where("evidence in ('fixed', 'ending auction') and all_in is not null").join(fair, "identity")
     order = Window.partitionBy("identity").orderBy("all_in", "seller", "listing_id")
     discount = (F.col("value") - F.col("all_in")) / F.col("value") * 100
-    return rows.select("identity", "listing_id", F.row_number().over(order).cast("long").alias("rank"), F.round((F.col("all_in") / F.first("all_in").over(order) - 1) * 100, 4).alias("gap"), F.round(discount, 4).alias("discount"), (discount + 1e-9 >= 30).alias("notify"))
+    gap = (F.col("all_in") / F.first("all_in").over(order) - 1) * 100
+    return rows.select("identity", "listing_id", F.row_number().over(order).cast("long").alias("rank"), F.round(gap + 1e-9, 4).alias("gap"), F.round(discount + 1e-9, 4).alias("discount"), (F.col("safe") & (discount + 1e-9 >= 30)).alias("notify"))
 
 
 @query("NUM-16", "NUM-17", "NUM-18", "NUM-19", "NUM-20", sql=with_sales("""
