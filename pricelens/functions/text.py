@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,14 +12,34 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..sources.tables import table
 
-#: Letters with marks and what they become, in order.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžœæß"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyszoas"
+#: Letters with marks of the driver's texts and what they become, in order (for the SQL alone).
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšž"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyysz"
+
+
+@cache
+def decomposed() -> tuple[str, str, dict[str, str]]:
+    """Characters that compatibility decomposition turns into one ASCII character, those, and the ones that become several."""
+    one, many = {}, {}
+    for i in range(0x80, sys.maxunicode + 1):
+        c = chr(i)
+        if 0xD800 <= i < 0xE000 or unicodedata.decomposition(c) == "":
+            continue
+        left = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(left) == 1:
+            one[c] = left
+        elif left:
+            many[c] = left
+    return "".join(one), "".join(one.values()), many
 
 
 def plain(text: Column) -> Column:
-    """Lower case without marks on letters."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case ASCII: what compatibility decomposition leaves of each character, nothing of those without a decomposition."""
+    marked, bare, many = decomposed()
+    becomes = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    several = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(becomes, c), c)), "")
+    rare = text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in many) + "]")
+    return F.lower(F.regexp_replace(F.translate(F.when(rare, several).otherwise(text), marked, bare), r"[^\x00-\x7F]", ""))
 
 
 def normal(text: Column) -> Column:
@@ -52,7 +74,7 @@ def key_of(*parts: Column) -> Column:
 
 
 @query("STR-01", "STR-02", "STR-03", "STR-04", "STR-46", sql=rf"""
-select doc_id, substr(trim(regexp_replace(translate(lower(text), '{MARKED}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g')), 1, 80) as normal from documents where text is not null""")
+select doc_id, substr(trim(regexp_replace(lower(regexp_replace(translate(lower(text), '{MARKED}', '{PLAIN}'), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), 1, 80) as normal from documents where text is not null""")
 def normal_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.substring(normal(F.col("text")), 1, 80).alias("normal"))
 

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pricelens.functions.scalars import countdown_minutes, money
-from pricelens.functions.text import card_number, key_of, normal
+from pricelens.functions.scalars import amount, countdown_minutes, money, sale_date
+from pricelens.functions.text import card_number, key_of, normal, plain
 from pricelens.operators.robust import hinge_statistics, keep_mad, linear_recency, reference_value, step_recency, weighted_quantiles
 from pricelens.operators.selection import first_wins
 from pricelens.sources.pages import Pages
@@ -53,10 +53,42 @@ def test_text_columns(spark):
     df = column(spark, ["# 004 / 102", "#0/000"], "string")
     assert [r[0] for r in df.select(card_number(F.col("x"))).collect()] == ["4/102", "0/0"]
     assert column(spark, [None], "string").select(key_of(F.col("x"), F.lit("a"))).first()[0] is None
-    df = column(spark, ["1 234,50 EUR", "US $1,234.5", "12.000", "none"], "string")
-    assert [r[0] for r in df.select(money(F.col("x"))).collect()] == [1234.5, 1234.5, 12000.0, None]
-    df = column(spark, ["1d 2h 5m 10s", "3m", ""], "string")
-    assert [r[0] for r in df.select(countdown_minutes(F.col("x"))).collect()] == [1566, 3, 0]
+    df = column(spark, ["\u0152uvre stra\u00dfe \u00c6on \ufb01n \u00bd \u1e69 \u24d0 \u65e5", None], "string")
+    assert [r[0] for r in df.select(plain(F.col("x"))).collect()] == ["uvre strae on fin 12 s a ", None]
+
+
+def test_money_as_written(spark):
+    df = column(spark, ["12.000", "1 234,50", "1'234.5", "1,234.5", "none"], "string")
+    assert [r[0] for r in df.select(amount(F.col("x"))).collect()] == [12.0, 1234.5, 1234.5, None, None]
+    df = column(spark, ["Prix 1 234,50 \u20ac puis 20 \u20ac", "99\u20ac", "120 USD", "", "12345,6 \u20ac"], "string")
+    assert [r[0] for r in df.select(money(F.col("x"))).collect()] == [1234.5, 99.0, None, None, 12345.6]
+
+
+def test_times_as_written(spark):
+    df = column(spark, ["1 jour 2 heures 5 minutes 10 sec", "3 MINS", "02:05:10", "", "lot 5", "1 day", "0 min"], "string")
+    assert [r[0] for r in df.select(countdown_minutes(F.col("x"))).collect()] == [1566, 3, 126, None, None, 1440, 0]
+    texts = ["il y a 3 jours", "2 weeks ago", "Vendu le 5 f\u00e9vrier 2024", "Feb 5th, 2024", "2024-02-05", "05/02/2024", "31/02/2024", "2031-01-01", "nothing", "1 mois"]
+    days = [str(r[0]) for r in column(spark, texts, "string").select(sale_date(F.col("x"), F.lit("2024-03-10").cast("date"))).collect()]
+    assert days == ["2024-03-07", "2024-02-25", *["2024-02-05"] * 4, "None", "None", "None", "2024-02-09"]
+
+
+def test_fair_value_rules(spark):
+    from pricelens.operators.fair_value import fair_values_of
+
+    sold = [("recent", 8.0, 100.0, "p", 1, None), ("recent", 20.0, 110.0, "e", 2, None), ("pair", 5.0, 100.0, "f", 3, None)]
+    sold += [("old", 120.0 + 20 * i, 80.0 + i, "e", 10 + i, None) for i in range(3)] + [("moved", 120.0 + 20 * i, 80.0 + i, "e", 20 + i, 1.1) for i in range(3)]
+    sold = spark.createDataFrame(sold, "identity string, age double, price double, source string, order_id long, factor double")
+    known = [("recent", "a", "x", 3.0, 193, 20.0, None, None, 90), ("strong", "a", "x", 3.0, 193, 90.0, 80.0, 100.0, 90), ("stale", "a", "x", 31.0, 193, 90.0, None, None, 90), ("weak", "a", "x", 3.0, 2, 90.0, None, None, 2), ("pair", "a", "x", 3.0, 10, 95.0, None, None, 5)]
+    known += [("family", "a", "x", 3.0, 193, 90.0, None, None, 90), ("family", "b", "x", 5.0, 500, 120.0, None, None, 90)]
+    known = spark.createDataFrame(known, "identity string, source string, family string, agg_age double, n long, central double, lo double, hi double, agg90 long")
+    out = {r.identity: r for r in fair_values_of(sold, known).collect()}
+    assert out.keys() == {"recent", "strong", "weak", "pair", "family", "moved"}
+    assert (out["recent"].value, out["recent"].evidence, out["recent"].method, out["recent"].safe) == (105.0, 2, "recent sales", True)
+    assert (out["strong"].value, out["strong"].low, out["strong"].high, out["strong"].quality, out["strong"].safe) == (90.0, 80.0, 100.0, "strong", True)
+    assert (out["weak"].quality, out["weak"].safe) == ("weak", False)
+    assert (out["pair"].value, out["pair"].method, out["pair"].safe) == (97.5, "sale and aggregate", True)
+    assert out["family"].value == 90.0
+    assert (out["moved"].method, out["moved"].quality) == ("adjusted older sales", "moderate") and abs(out["moved"].value - 81 * 1.1) < 1e-9
 
 
 def test_catch_up_holds_back(spark):
