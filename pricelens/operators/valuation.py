@@ -97,7 +97,7 @@ def rejection(price: Column, central: Column, low: Column, threshold: Column) ->
     return F.when(central.isNull(), "no estimate").when(discount < threshold, "discount too small").when(price > most, "above the prudent price").otherwise("")
 
 
-@query("FLT-11", "NUM-22", "SRC-01", sql=with_sales("""
+@query("FLT-11", "NUM-22", sql=with_sales("""
 select listing_id, round((central - l.price) / central * 100, 4) as discount, round(low * (1 - threshold / 100), 4) as most,
   case when central is null then 'no estimate' when (central - l.price) / central * 100 < threshold then 'discount too small' when l.price > low * (1 - threshold / 100) then 'above the prudent price' else '' end as reason
 from listings l left join est on listing_id = part_id""", *ESTIMATES, LISTINGS_SQL))

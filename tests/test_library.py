@@ -9,9 +9,9 @@ from pricelens.functions.scalars import amount, countdown_minutes, money, sale_d
 from pricelens.functions.text import card_number, key_of, normal, plain
 from pricelens.operators.robust import hinge_statistics, keep_mad, linear_recency, reference_value, step_recency, weighted_quantiles
 from pricelens.operators.selection import first_wins
-from pricelens.sources.pages import Pages
-from pricelens.sources.state import load, save, upsert
-from pricelens.streaming.incremental import catch_up, next_state, stream_counts, stream_first_seen, streamed
+from pricelens.sources.pages import landed, scanned
+from pricelens.sources.state import load, save, upsert, versions
+from pricelens.streaming.incremental import catch_up, next_state, start_at, stream_counts, stream_first_seen, streamed
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,13 +92,21 @@ def test_fair_value_rules(spark):
 
 
 def test_catch_up_holds_back(spark):
-    rows = [(1, "2024-01-01 00:00:00", True), (2, "2024-01-01 00:00:00", True), (3, "2024-01-02 00:00:00", False), (4, "2024-01-03 00:00:00", True)]
+    rows = [(1, "2024-01-01 00:00:00", True), (2, "2024-01-01 00:00:00", True), (3, "2024-01-02 00:00:00", False), (4, "2024-01-03 00:00:00", True), (5, "2023-12-01 00:00:00", False)]
     feed = spark.createDataFrame(rows, "id long, ts string, final boolean").withColumn("ts", F.col("ts").cast("timestamp"))
-    state = spark.range(1).select(F.lit("2024-01-01").cast("timestamp").alias("base"), F.array(F.lit(1).cast("long")).alias("ties"))
+    state = start_at(spark, feed, "2024-01-01")
+    first = catch_up(feed, state, 1)
+    assert [r.id for r in first.collect()] == [1]
+    state = next_state(first, feed, state)
     taken = catch_up(feed, state, 10)
-    assert [r.id for r in taken.collect()] == [2, 4]
-    after = next_state(taken, feed).first()
-    assert str(after.base) == "2024-01-02 00:00:00" and after.ties == []
+    assert [r.id for r in taken.collect()] == [2, 4]  # ties of an earlier batch are known
+    state = next_state(taken, feed, state)
+    after = state.first()
+    assert str(after.base) == "2024-01-02 00:00:00" and [s.id for s in after.seen] == [4]  # held back, and 4 is not taken twice
+    empty = catch_up(feed, state, 10)
+    assert empty.count() == 0 and next_state(empty, feed, state).first() == after  # the old row that never gets final moves nothing
+    done = feed.withColumn("final", F.lit(True))
+    assert [r.id for r in catch_up(done, state, 10).collect()] == [3]
 
 
 def test_alerts_compare_with_the_last_one_sent(spark):
@@ -123,8 +131,10 @@ def test_alerts_compare_with_the_last_one_sent(spark):
 def test_upsert_and_versions(spark, tmp_path):
     old = spark.createDataFrame([("a", 1, 10), ("b", 5, 20)], "k string, at int, v int")
     new = spark.createDataFrame([("a", 2, 11), ("b", 5, 21), ("c", 1, 30)], "k string, at int, v int")
-    save(upsert(old, new, "k", "at"), str(tmp_path), 3)
-    assert sorted(map(tuple, load(spark, str(tmp_path), 3).collect())) == [("a", 2, 11), ("b", 5, 21), ("c", 1, 30)]
+    assert save(old, str(tmp_path)) == 1 and save(upsert(old, new, "k", "at"), str(tmp_path)) == 2
+    (tmp_path / "version=3").mkdir()  # a writer that died
+    assert versions(spark, str(tmp_path)) == [1, 2] and sorted(map(tuple, load(spark, str(tmp_path)).collect())) == [("a", 2, 11), ("b", 5, 21), ("c", 1, 30)]
+    assert versions(spark, str(tmp_path / "none")) == [] and sorted(map(tuple, load(spark, str(tmp_path), 1).collect())) == [("a", 1, 10), ("b", 5, 20)]
 
 
 def test_first_frame_wins(spark):
@@ -133,14 +143,25 @@ def test_first_frame_wins(spark):
     assert sorted((r.o, r.k) for r in first_wins([a, b], "k", "o").collect()) == [(1, "x"), (5, "y")]
 
 
-def test_paged_source(spark, tmp_path):
-    paths = []
-    for page in range(2):
-        path = tmp_path / f"{page}.json"
-        path.write_text(json.dumps({"info": {"currentPage": page}, "results": [{"id": page * 10 + i, "status": "SOLD", "soldAt": None, "price": 1.5} for i in range(3)]}))
-        paths.append(str(path))
-    spark.dataSource.register(Pages)
-    assert sorted(r.id for r in spark.read.format("pages").option("paths", ",".join(paths)).load().collect()) == ["0", "1", "10", "11", "12", "2"]
+def test_landed_pages(spark, tmp_path):
+    def page(k, ids, following, total=None):
+        return {"info": {"currentPage": k, "nextPage": following, **({} if total is None else {"counts": {"total": total}})}, "results": [{"id": i, "price": 1.5} for i in ids]}
+
+    feeds = {
+        "whole": [page(1, ["a", "b"], 2, 4), page(2, ["c", "d"], 3)], "twice": [page(1, ["a", "b"], 2, 9), page(2, ["a", "b"], 3)], "cut": [page(1, ["a", "b"], 2, 9)],
+        "less": [page(1, ["a", "b"], 2, 9), page(2, ["c"], None)], "stuck": [page(1, ["a", "b"], 2, 9), page(3, ["c"], 3)], "none": [page(1, [], None, 0)], "ids": [page(1, ["a", " ", "a", None], None, 1)],
+    }
+    for feed, pages in feeds.items():
+        (tmp_path / feed).mkdir()
+        for k, body in enumerate(pages, 1):
+            (tmp_path / feed / f"{k}.json").write_text(json.dumps(body))
+    end, taken = scanned(landed(spark, str(tmp_path)), 2)
+    got = {r.feed: (r.reason, r.pages, r.listings, r.complete) for r in end.collect()}
+    assert got == {
+        "whole": ("declared total", 2, 4, True), "twice": ("repeated page", 2, 2, False), "cut": ("page failed", 1, 2, False), "less": ("total not reached", 2, 3, False),
+        "stuck": ("malformed", 2, 2, False), "none": ("declared total", 1, 0, True), "ids": ("declared total", 1, 1, True),
+    }
+    assert sorted((r.feed, r.id) for r in taken.where("feed in ('stuck', 'ids', 'less')").collect()) == [("ids", "a"), *[("less", x) for x in "abc"], ("stuck", "a"), ("stuck", "b")]
 
 
 def test_streaming_twins(spark, tmp_path):
