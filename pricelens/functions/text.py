@@ -38,8 +38,9 @@ def plain(text: Column) -> Column:
     marked, bare, many = decomposed()
     becomes = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
     several = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(becomes, c), c)), "")
-    rare = text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in many) + "]")
-    return F.lower(F.regexp_replace(F.translate(F.when(rare, several).otherwise(text), marked, bare), r"[^\x00-\x7F]", ""))
+    foreign = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    rare = F.length(F.translate(foreign, "".join(many), "")) < F.length(foreign)  # a look-up a character, and only of those beyond ASCII
+    return F.lower(F.regexp_replace(F.translate(F.when(rare, several).otherwise(text), marked, bare), r"[^\x00-\x7F]+", ""))
 
 
 def normal(text: Column) -> Column:
