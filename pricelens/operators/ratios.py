@@ -25,7 +25,7 @@ def grader_spreads(spark, sf_dir):
     ref = t.where("grader = 'N'").select("identity", "grade", F.col("n").alias("rn"), F.col("m").alias("rm"), F.col("first").alias("rf"), F.col("last").alias("rl"))
     rows = t.where("grader <> 'N'").join(ref, ["identity", "grade"])
     rows = rows.where(F.datediff(F.greatest("last", "rl"), F.least("first", "rf")) <= 1500)
-    return rows.select("identity", "grade", F.col("grader").alias("target"), F.round(F.col("m") / F.col("rm"), 4).alias("ratio"), (F.col("n") + F.col("rn")).alias("n"))
+    return rows.select("identity", "grade", F.col("grader").alias("target"), F.round(F.try_divide("m", "rm"), 4).alias("ratio"), (F.col("n") + F.col("rn")).alias("n"))
 
 
 @query("AGG-11", "AGG-13", sql=with_sales("""
@@ -53,7 +53,7 @@ def backed_off(spark, sf_dir, least=(5, 3, 5)) -> DataFrame:
     t = tiers(spark, sf_dir)
     ref = t.where("grader = 'N' and n >= 2").select("identity", "grade", F.col("m").alias("rm"))
     segment = F.split_part("identity", F.lit("|"), F.lit(2)).alias("segment")
-    o = t.where("grader = 'A' and n >= 2").join(ref, ["identity", "grade"]).select("identity", segment, (F.col("m") / F.col("rm")).alias("ratio"))
+    o = t.where("grader = 'A' and n >= 2").join(ref, ["identity", "grade"]).select("identity", segment, F.try_divide("m", "rm").alias("ratio"))
     agg = [F.count("ratio").alias("n"), F.percentile("ratio", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")]
     named = lambda df, k: df.withColumnsRenamed({"n": f"n{k}", "q": f"q{k}"})
     own, near, every = named(o.groupBy("identity").agg(*agg), 1), named(o.groupBy("segment").agg(*agg), 2), named(o.agg(*agg), 3)
@@ -76,7 +76,7 @@ def hierarchical_ratios(spark, sf_dir):
 select t.identity, t.grade, round(1e-9 + t.m / h.c, 4) as low, round(1e-9 + t.m / h.b, 4) as mid, round(1e-9 + t.m / h.a, 4) as high from t join h using (identity) where t.grader = 'A'""", HIERARCHY))
 def proxy_values(spark, sf_dir):
     rows = tiers(spark, sf_dir).where("grader = 'A'").select("identity", "grade", "m").join(backed_off(spark, sf_dir).select("identity", "q"), "identity")
-    return rows.select("identity", "grade", *[near(F.col("m") / F.col("q")[i], 4).alias(c) for c, i in (("low", 2), ("mid", 1), ("high", 0))])
+    return rows.select("identity", "grade", *[near(F.try_divide(F.col("m"), F.col("q")[i]), 4).alias(c) for c, i in (("low", 2), ("mid", 1), ("high", 0))])
 
 
 @query("JOI-09", "AGG-35", sql=with_sales("""

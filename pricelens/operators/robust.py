@@ -221,7 +221,7 @@ def hinge_rows(rows: DataFrame, by: list[str]) -> DataFrame:
     g = g.withColumn("reach", F.when(iqr > 0, 1.5 * iqr).otherwise(0.4 * F.col("median")))
     return g.select(
         *by, "n", "median", "lower", "upper", F.greatest(F.col("lower") - F.col("reach"), F.lit(0.01)).alias("low_fence"), (F.col("upper") + F.col("reach")).alias("high_fence"),
-        ((F.col("most") - F.col("least")) / F.col("median")).alias("dispersion"),
+        F.try_divide(F.col("most") - F.col("least"), F.col("median")).alias("dispersion"),
     )
 
 
@@ -296,7 +296,7 @@ def quality_labels(spark, sf_dir):
     g = rows.groupBy("part_id").agg(F.count("price").alias("n"), q.alias("q"), F.count_if(F.col("age") <= 90).alias("n90"), F.count_if(F.col("age") <= 180).alias("n180"))
     medians = rows.groupBy("part_id", "source").agg(F.median("price").alias("m"), F.count("price").alias("k")).where("k >= 2")
     sources = medians.groupBy("part_id").agg(F.when(F.count("m") >= 2, F.max("m") / F.min("m") <= 1.35).alias("consistent"))
-    return g.join(sources, "part_id", "left").select("part_id", dispersion_label(F.col("n"), (F.col("q")[2] - F.col("q")[0]) / F.col("q")[1]).alias("dispersion"), liquidity_label(F.col("n"), F.col("n90"), F.col("n180")).alias("liquidity"), "consistent")
+    return g.join(sources, "part_id", "left").select("part_id", dispersion_label(F.col("n"), F.try_divide(F.col("q")[2] - F.col("q")[0], F.col("q")[1])).alias("dispersion"), liquidity_label(F.col("n"), F.col("n90"), F.col("n180")).alias("liquidity"), "consistent")
 
 
 def dispersion_label(n: Column, spread: Column) -> Column:

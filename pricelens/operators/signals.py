@@ -26,14 +26,14 @@ select part_id, n, b, round((recent / base - 1) * 100, 4) as momentum from (sele
   median(price) filter (age <= 90) as recent, median(price) filter (age > 90 and age <= 365) as base from sales where age >= 0 group by part_id) where n >= 2 and b >= 2"""))
 def momentum(spark, sf_dir):
     g = sales(spark, sf_dir).where("age >= 0").groupBy("part_id").agg(window_count(-1, 90).alias("n"), window_count(90, 365).alias("b"), window_median(-1, 90).alias("recent"), window_median(90, 365).alias("base"))
-    return g.where("n >= 2 and b >= 2").select("part_id", "n", "b", F.round((F.col("recent") / F.col("base") - 1) * 100, 4).alias("momentum"))
+    return g.where("n >= 2 and b >= 2").select("part_id", "n", "b", F.round((F.try_divide("recent", "base") - 1) * 100, 4).alias("momentum"))
 
 
 @query("WIN-05", sql=with_sales("""
 select identity, round((f - o) / o * 100, 4) as lag, (f - o) / o >= 0.15 as signal from (select identity, median(price) filter (source = 'F' and age <= 90) as f, median(price) filter (source = 'O' and age <= 90) as o from sales where age >= 0 group by identity) where f is not null and o is not null"""))
 def market_lag(spark, sf_dir):
     g = sales(spark, sf_dir).where("age >= 0").groupBy("identity").agg(window_median(-1, 90, F.col("source") == "F").alias("f"), window_median(-1, 90, F.col("source") == "O").alias("o"))
-    lag = (F.col("f") - F.col("o")) / F.col("o")
+    lag = F.try_divide(F.col("f") - F.col("o"), F.col("o"))
     return g.where("f is not null and o is not null").select("identity", F.round(lag * 100, 4).alias("lag"), (lag >= 0.15).alias("signal"))
 
 
@@ -45,7 +45,7 @@ select identity, round(ratio, 6) as ratio, round(implied, 4) as implied, ratio b
 def grader_lag(spark, sf_dir):
     a, n = F.col("grader") == "A", F.col("grader") == "N"
     g = sales(spark, sf_dir).where("age >= 0").groupBy("identity").agg(window_median(90, 1e9, a).alias("t_old"), window_median(-1, 90, a).alias("t_new"), window_median(90, 1e9, n).alias("r_old"), window_median(-1, 90, n).alias("r_new"))
-    g = g.withColumns({"ratio": F.col("t_old") / F.col("r_old"), "implied": F.col("r_new") * F.col("t_old") / F.col("r_old"), "rise": F.col("r_new") / F.col("r_old") - 1}).where("implied is not null")
+    g = g.withColumns({"ratio": F.try_divide("t_old", "r_old"), "implied": F.try_divide(F.col("r_new") * F.col("t_old"), F.col("r_old")), "rise": F.try_divide("r_new", "r_old") - 1}).where("implied is not null")
     signal = F.col("ratio").between(0.35, 1.5) & (F.col("rise") >= 0.15) & (F.coalesce("t_new", F.lit(0.0)) < 0.9 * F.col("implied"))
     return g.select("identity", F.round("ratio", 6).alias("ratio"), F.round("implied", 4).alias("implied"), signal.alias("signal"))
 
@@ -66,7 +66,7 @@ def grade_inversions(spark, sf_dir):
     t = sales(spark, sf_dir).groupBy("identity", "grader", "grade").agg(F.median("price").alias("m"), F.count("price").alias("k")).where("k >= 2")
     w = Window.partitionBy("identity", "grader").orderBy("grade")
     t = t.withColumns({"below_grade": F.lag("grade").over(w), "below": F.lag("m").over(w)}).where(F.col("m") <= 0.9 * F.col("below"))
-    return t.select("identity", "grader", "grade", near("m", 4).alias("price"), "below_grade", near((1 - F.col("m") / F.col("below")) * 100, 4).alias("inversion"))
+    return t.select("identity", "grader", "grade", near("m", 4).alias("price"), "below_grade", near((1 - F.try_divide("m", "below")) * 100, 4).alias("inversion"))
 
 
 @query("WIN-09", "WIN-11", "SRC-36", "NUM-23", sql="with " + LISTINGS_SQL.strip() + """
@@ -75,7 +75,7 @@ select identity, listing_id, round(price, 4) as price, round((next - price) / ne
 def lowest_asks(spark, sf_dir):
     w = Window.partitionBy("identity").orderBy("price", "listing_id")
     rows = listings(spark, sf_dir).withColumns({"k": F.row_number().over(w), "next": F.lead("price").over(w)}).where("k = 1 and next is not null")
-    return rows.select("identity", "listing_id", F.round("price", 4).alias("price"), F.round((F.col("next") - F.col("price")) / F.col("next") * 100, 4).alias("gap"))
+    return rows.select("identity", "listing_id", F.round("price", 4).alias("price"), F.round(F.try_divide(F.col("next") - F.col("price"), F.col("next")) * 100, 4).alias("gap"))
 
 
 @query("WIN-10", sql="with " + LISTINGS_SQL.strip() + """

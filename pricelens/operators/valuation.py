@@ -60,7 +60,7 @@ def market_estimates(rows: DataFrame, by: list[str]) -> DataFrame:
     medians = kept.groupBy(*by, "source").agg(F.median("price").alias("m"), F.count("price").alias("k")).where("k >= 2")
     sources = medians.groupBy(*by).agg(F.when(F.count("m") >= 2, F.max("m") / F.min("m") <= 1.35).alias("consistent"))
     out = prices.join(quality, by).join(sources, by, "left")
-    out = out.withColumn("dispersion", dispersion_label(F.col("n"), (F.col("q")[2] - F.col("q")[0]) / F.col("q")[1]))
+    out = out.withColumn("dispersion", dispersion_label(F.col("n"), F.try_divide(F.col("q")[2] - F.col("q")[0], F.col("q")[1])))
     out = out.withColumn("liquidity", liquidity_label(F.col("n"), F.col("n90"), F.col("n180")))
     c = F.col
     return out.withColumns({
@@ -153,7 +153,7 @@ def converted_prices(spark, sf_dir):
     m = s.where("age >= 0").groupBy("identity", "grader").agg(F.median("price").alias("m"), F.count("price").alias("n"), F.max("sold_at").alias("last")).where("n >= 3")
     target = m.where("grader = 'N'").select("identity", F.col("m").alias("t"))
     ratio = m.where("grader <> 'N'").join(target, "identity")
-    best = ratio.groupBy("identity", "grader").agg(F.max_by(F.col("t") / F.col("m"), F.struct("n", "last")).alias("ratio"))
+    best = ratio.groupBy("identity", "grader").agg(F.max_by(F.try_divide("t", "m"), F.struct("n", "last")).alias("ratio"))
     return s.join(best, ["identity", "grader"]).groupBy("identity", "grade").agg(F.count("price").alias("n"), F.round(F.min(F.col("price") * F.col("ratio")), 4).alias("lowest"))
 
 
@@ -173,7 +173,7 @@ def direct_values(spark, sf_dir):
     q = F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = rows.groupBy(*by).agg(F.count("price").alias("n"), F.min("price").alias("lo"), F.max("price").alias("hi"), q.alias("q"), F.count_if(F.col("age") <= 90).alias("n90"), F.count_if(F.col("age") <= 180).alias("n180"))
     out = g.join(lower_weighted_median(rows, by).withColumnRenamed("median", "mid"), by)
-    n, spread = F.col("n"), (F.col("q")[2] - F.col("q")[0]) / F.col("q")[1]
+    n, spread = F.col("n"), F.try_divide(F.col("q")[2] - F.col("q")[0], F.col("q")[1])
     low = F.when(n == 1, F.col("mid") * 0.75).when((n <= 3) & (F.col("lo") < F.col("hi")), F.col("lo")).when(n <= 3, F.col("lo") * 0.85).otherwise(F.col("q")[0])
     high = F.when(n == 1, F.col("mid") * 1.25).when((n <= 3) & (F.col("lo") < F.col("hi")), F.col("hi")).when(n <= 3, F.col("hi") * 1.15).otherwise(F.col("q")[2])
     label = F.when((n >= 8) & (F.col("n90") >= 3) & (spread <= 0.25), "high").when((n >= 4) & (F.col("n180") >= 2) & (spread <= 0.5), "medium").otherwise("low")

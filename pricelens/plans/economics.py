@@ -29,7 +29,7 @@ def grade_profits(spark, sf_dir):
     cost = all_costs(F.col("price"), F.lit(20), F.when(F.col("listing_id") % 10 != 0, (F.col("listing_id") % 5).cast("double")))
     rows = l.withColumn("cost", cost).selectExpr("listing_id", "cost", "stack(4, '7', price * 0.8D, '8', price * 1.1D, '9', price * 1.6D, '10', price * 3.0D) as (level, value)")
     profit = F.col("value") * 0.87 - 0.3 - F.col("cost")
-    return rows.select("listing_id", "level", F.round(profit, 4).alias("profit"), F.round(profit / F.col("cost") * 100, 4).alias("roi"), (profit >= 10).alias("signal"))
+    return rows.select("listing_id", "level", F.round(profit, 4).alias("profit"), F.round(F.try_divide(profit, F.col("cost")) * 100, 4).alias("roi"), (profit >= 10).alias("signal"))
 
 
 EV = """v as (select listing_id, price, p, 0.8::double * price * p[1] + 1.1::double * price * p[2] + 1.6::double * price * p[3] + 3.0::double * price * p[4] as gross

@@ -77,7 +77,7 @@ def pinned_sets(spark, sf_dir):
     return rows.select("p_partkey", F.when(F.col("pin").isNotNull(), "pinned").when(conflict, "ambiguous").otherwise("resolved").alias("state"), F.coalesce("pin", F.when(~conflict, F.lower(F.substring("p_type", 1, 3)))).alias("set_id"))
 
 
-@query("STR-56", "UDF-10", sql="select page_id, pass from (select page_id, 0 as pass from pages where url like '%page=%' union all select page_id, 1 from pages where url not like '%page=%' and url like '%/en/%')")
+@query("STR-56", sql="select page_id, pass from (select page_id, 0 as pass from pages where url like '%page=%' union all select page_id, 1 from pages where url not like '%page=%' and url like '%/en/%')")
 def query_plan(spark, sf_dir):
     """Two ordered passes: narrow pages first, broad ones after; stages are composed, never patched."""
     p = table(spark, sf_dir, "pages")
