@@ -33,14 +33,19 @@ def decomposed() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), many
 
 
-def plain(text: Column) -> Column:
-    """Lower case ASCII: what compatibility decomposition leaves of each character, nothing of those without a decomposition."""
+def undecorated(text: Column) -> Column:
+    """ASCII: what compatibility decomposition leaves of each character, nothing of those without a decomposition."""
     marked, bare, many = decomposed()
     becomes = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
     several = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(becomes, c), c)), "")
     foreign = F.regexp_replace(text, r"[\x00-\x7F]+", "")
     rare = F.length(F.translate(foreign, "".join(many), "")) < F.length(foreign)  # a look-up a character, and only of those beyond ASCII
-    return F.lower(F.regexp_replace(F.translate(F.when(rare, several).otherwise(text), marked, bare), r"[^\x00-\x7F]+", ""))
+    return F.regexp_replace(F.translate(F.when(rare, several).otherwise(text), marked, bare), r"[^\x00-\x7F]+", "")
+
+
+def plain(text: Column) -> Column:
+    """undecorated() in lower case."""
+    return F.lower(undecorated(text))
 
 
 def normal(text: Column) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from .functions import scalars, text  # noqa: F401
+from .functions import parsing, scalars, text, variants  # noqa: F401
 from .operators import fair_value, joins, ratios, robust, selection, signals, valuation  # noqa: F401
 from .plans import economics, providers  # noqa: F401
 from .sources import pages, state  # noqa: F401
