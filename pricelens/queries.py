@@ -3,6 +3,6 @@
 from .functions import parsing, scalars, text, variants  # noqa: F401
 from .operators import catalog, fair_value, joins, ratios, robust, selection, signals, valuation  # noqa: F401
 from .plans import economics, providers  # noqa: F401
-from .sources import pages, state  # noqa: F401
+from .sources import adapters, pages, state  # noqa: F401
 from .registry import COVERS, QUERIES, SQL  # noqa: F401
 from .streaming import alerts, incremental  # noqa: F401
