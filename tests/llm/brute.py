@@ -165,3 +165,54 @@ def targets(sizes, weights=(5, 2, 1), most=3):
 
 def remainder(doc_id, by):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % by
+
+
+def spelling(rows):
+    """rows: (doc_id, text); returns sorted (word, form, root, n, n_near, form_n)."""
+    count = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = re.sub("[A-Z]", lambda m: m.group().lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            count[run] += 1
+    n = {w: k for w, k in count.items() if len(w) >= 5 and k >= 3}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    form, found = {}, {}
+    for w in n:
+        found[w] = sorted((-n[v], v) for v in n if near(w, v))
+        form[w] = found[w][0][1] if found[w] and -found[w][0][0] >= 2 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(found[w]), n.get(form[w])))
+    return sorted(out)
+
+
+def clusters(rows, k=16, rounds=3, scale=64, dims=64):
+    """rows: (vec_id, vector); returns sorted (vec_id, cluster, distance, cluster_inertia, inertia, sha256)."""
+    kept = [(i, [int(x) * scale if abs(x) > 1e300 else math.floor(scale * x) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    centres = [v for _, v in sorted(kept, key=lambda r: sha(f"1:{'' if r[0] is None else r[0]}"))[:k]]
+    place = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centres))
+    for _ in range(rounds):
+        own = [place(v)[1] for _, v in kept]
+        for j in range(len(centres)):
+            mine = [v for (_, v), o in zip(kept, own) if o == j]
+            if mine:
+                centres[j] = [sum(x) // len(mine) for x in zip(*mine)]
+    last = [(i, *place(v)) for i, v in kept]
+    inertia = Counter()
+    for _, d, j in last:
+        inertia[j] += d
+    fits = lambda x: x if x < 1 << 63 else None
+    wide = {j for _, d, j in last if d >= 1 << 63}
+    return sorted(((i, j, fits(d), None if j in wide else fits(inertia[j]), None if wide else fits(sum(inertia.values())), sha(",".join(map(str, centres[j])))) for i, d, j in last), key=str)
