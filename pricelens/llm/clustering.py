@@ -177,10 +177,10 @@ def op13_centroid_clustering(spark, sf_dir):
 
 
 def _sql(centroids: int = 16, rounds: int = 3, scale: int = 64, dims: int = 64) -> str:
-    distance = f"list_sum(list_transform(generate_series(1, {dims}), i -> (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))"
+    distance = f"list_sum(list_transform(generate_series(1, {dims}), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))"
     parts = [
-        f"kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings"
-        f" WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings"
+        f" WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
         f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept ORDER BY sha256('1:' || vec_id) LIMIT {centroids})",
     ]
     for r in range(rounds + 1):
