@@ -127,7 +127,7 @@ def parsed_titles(spark, sf_dir):
     return e.select("event_id", F.regexp_extract(t, "#([0-9]+)", 1).alias("number"), F.regexp_extract(t, "(PSX|BGX|CGX)", 1).alias("grader"), grade.try_cast("double").alias("grade"), F.regexp_extract(t, "((?:19|20)[0-9]{2})", 1).alias("year"))
 
 
-@query("STR-22", "STR-23", "STR-24", "UDF-12", sql=r"""
+@query(sql=r"""
 select doc_id, len(n) as numbers, case when len(list_distinct(n)) = 1 then n[1] end as only_one from (select doc_id, regexp_extract_all(text, '[0-9]+') as n from documents where text is not null)""")
 def numbers_in_texts(spark, sf_dir):
     n = F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
