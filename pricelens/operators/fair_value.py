@@ -186,13 +186,13 @@ def arbitration(spark, sf_dir):
     return g.select("part_id", path.alias("path"), F.round(F.when((F.col("nf") >= 3) & (F.col("no") >= 3) & agree, F.least("o", "f")), 6).alias("combined"))
 
 
-@query("NUM-21", "STM-11", "UDF-09", sql="""
+@query("NUM-21", "UDF-09", sql="""
 select event_id, case when gap <= 3 then 1 when gap <= 6 then 2 when gap <= 10 then 3 when gap <= 15 then 6 else 24 end as ttl_hours,
-  case when age_h <= case when gap <= 3 then 1 when gap <= 6 then 2 when gap <= 10 then 3 when gap <= 15 then 6 else 24 end then 'hit' else 'stale' end as cache
+  case when age_h < case when gap <= 3 then 1 when gap <= 6 then 2 when gap <= 10 then 3 when gap <= 15 then 6 else 24 end then 'hit' else 'stale' end as cache
 from (select event_id, abs(value - 30) as gap, date_diff('second', ts, timestamp '2024-01-31') / 3600.0::double as age_h from events)""")
 def cache_states(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     gap = F.abs(F.col("value") - 30)
     ttl = F.when(gap <= 3, 1).when(gap <= 6, 2).when(gap <= 10, 3).when(gap <= 15, 6).otherwise(24)
     age = (F.unix_timestamp(F.lit("2024-01-31").cast("timestamp")) - F.unix_timestamp("ts")) / F.lit(3600.0)
-    return e.select("event_id", ttl.alias("ttl_hours"), F.when(age <= ttl, "hit").otherwise("stale").alias("cache"))
+    return e.select("event_id", ttl.alias("ttl_hours"), F.when(age < ttl, "hit").otherwise("stale").alias("cache"))

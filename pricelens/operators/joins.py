@@ -121,22 +121,38 @@ def unique_lookup(spark, sf_dir):
     return rows.select("listing_id", how.alias("resolution"), F.when(F.col("n") == 1, F.col("one")).when(F.col("m") == 1, F.col("two")).alias("card"))
 
 
+def recovered_two_of_three(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """rows with card and recovery: name and number find a card whose set is missing, set and name one whose number is missing.
+
+    rows and catalogue have name, set and number (the catalogue also card). A row without a name, with both or with neither of the others
+    is not for this rule: one coordinate alone never finds a card. More than one card for the pair is ambiguous. The
+    catalogue is counted by pair before it meets the rows, so that a common pair is one row.
+    """
+    one = lambda *by: catalogue.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count_distinct("card").alias("_n"), F.min("card").alias("_card"))
+    how = F.when(F.col("name").isNull(), None).when(F.col("set").isNull() & F.col("number").isNotNull(), "by number").when(F.col("set").isNotNull() & F.col("number").isNull(), "by set")
+    r = rows.withColumn("_how", how)
+    numbered = r.join(one("name", "number"), (F.col("_how") == "by number") & (F.col("name") == F.col("_name")) & (F.col("number") == F.col("_number")), "left").drop("_name", "_number").withColumnsRenamed({"_n": "_n1", "_card": "_c1"})
+    both = numbered.join(one("set", "name"), (F.col("_how") == "by set") & (F.col("name") == F.col("_name")) & (F.col("set") == F.col("_set")), "left").drop("_name", "_set")
+    n = F.coalesce("_n1", "_n", F.lit(0))
+    state = F.when(F.col("_how").isNull(), "not applicable").when(n == 0, "none").when(n > 1, "ambiguous").otherwise(F.col("_how"))
+    return both.select(*rows.columns, F.when(n == 1, F.coalesce("_c1", "_card")).alias("card"), state.alias("recovery"))
+
+
 @query("JOI-22", sql="""
-select id, case when count(distinct card) = 1 then min(card) end as card, count(distinct card) as candidates from (
-  select s_suppkey as id, c_custkey as card from supplier join customer on s_nationkey = c_nationkey and floor(s_acctbal / 100) = floor(c_acctbal / 100)
-  union all select s_suppkey, c_custkey from supplier join customer on s_nationkey = c_nationkey and s_suppkey % 100 = c_custkey % 100 and c_mktsegment = 'BUILDING'
-  union all select s_suppkey, c_custkey from supplier join customer on floor(s_acctbal / 100) = floor(c_acctbal / 100) and s_suppkey % 100 = c_custkey % 100) group by id""")
+with c as (select p_partkey as card, p_name as name, p_brand as set, p_size::varchar || '/' || (p_partkey % 400)::varchar as number from part),
+l as (select l_orderkey, l_linenumber, case when l_suppkey % 10 > 0 then name end as name, case when l_linenumber % 4 in (1, 2) then set end as set, case when l_linenumber % 4 in (0, 2) then number end as number from lineitem join c on card = l_partkey),
+w as (select *, case when name is null then null when set is null and number is not null then 'by number' when set is not null and number is null then 'by set' end as how from l),
+n as (select name, number, count(distinct card) as n, min(card) as card from c group by all), s as (select name, set, count(distinct card) as n, min(card) as card from c group by all),
+j as (select l_orderkey, l_linenumber, how, coalesce(n.n, s.n, 0) as k, coalesce(n.card, s.card) as card from w left join n on how = 'by number' and n.name = w.name and n.number = w.number left join s on how = 'by set' and s.name = w.name and s.set = w.set)
+select l_orderkey, l_linenumber, case when k = 1 then card end as card, case when how is null then 'not applicable' when k = 0 then 'none' when k > 1 then 'ambiguous' else how end as recovery from j""")
 def two_of_three(spark, sf_dir):
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    nation = F.col("s_nationkey") == F.col("c_nationkey")
-    money = F.floor(F.col("s_acctbal") / 100) == F.floor(F.col("c_acctbal") / 100)
-    tail = F.col("s_suppkey") % 100 == F.col("c_custkey") % 100
-    found = [s.join(c, nation & money), s.join(c.where("c_mktsegment = 'BUILDING'"), nation & tail), s.join(c, money & tail)]
-    rows = found[0].select("s_suppkey", "c_custkey")
-    for f in found[1:]:
-        rows = rows.unionByName(f.select("s_suppkey", "c_custkey"))
-    n = F.count_distinct("c_custkey")
-    return rows.groupBy(F.col("s_suppkey").alias("id")).agg(F.when(n == 1, F.min("c_custkey")).alias("card"), n.alias("candidates"))
+    """Lines as rows that name a part by two of name, brand and number, by one of them, or by all."""
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("card"), F.col("p_name").alias("name"), F.col("p_brand").alias("set"), F.concat_ws("/", F.col("p_size").cast("string"), (F.col("p_partkey") % 400).cast("string")).alias("number"))
+    k = F.col("l_linenumber") % 4
+    rows = table(spark, sf_dir, "lineitem").join(c, F.col("l_partkey") == F.col("card")).select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 10 > 0, F.col("name")).alias("name"), F.when(k.isin(1, 2), F.col("set")).alias("set"), F.when(k.isin(0, 2), F.col("number")).alias("number")
+    )
+    return recovered_two_of_three(rows, c).select("l_orderkey", "l_linenumber", "card", "recovery")
 
 
 #: Aliases of the part types used as set names.

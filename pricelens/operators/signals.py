@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..registry import query
-from ..sources.tables import LISTINGS_SQL, listings, sales, table, with_sales
+from ..sources.tables import LISTINGS_SQL, SALES_SQL, listings, sales, table, with_sales
 from .robust import near
 
 
@@ -78,12 +78,34 @@ def lowest_asks(spark, sf_dir):
     return rows.select("identity", "listing_id", F.round("price", 4).alias("price"), F.round(F.try_divide(F.col("next") - F.col("price"), F.col("next")) * 100, 4).alias("gap"))
 
 
-@query("WIN-10", sql="with " + LISTINGS_SQL.strip() + """
-select listing_id, seller, stale, listed, stale >= 0.3 * listed as repricing from (select *, count(*) filter (minutes_to_end > 40) over (partition by seller) as stale, count(*) over (partition by seller) as listed from listings) where minutes_to_end > 40""")
+def stale_seller_signals(fixed: DataFrame, moves: DataFrame, stale_days: float = 14.0, least: int = 2, momentum: float = 15.0, gap: float = 15.0) -> DataFrame:
+    """Fixed asks whose seller has let several asks grow old while their market rose: listing_id, seller, listed, stale, age_days, momentum, gap.
+
+    fixed has listing_id, seller, price and age_days (null: unknown, which is not old); moves has listing_id, recent (median of late
+    sales) and momentum (percent over earlier ones). A seller counts with two asks or more of which `least` (2 or more)
+    are old; an ask of it signals if it is old itself, its market gained enough and it lies far enough below late sales.
+    """
+    old = F.col("age_days") >= max(7.0, stale_days)
+    portfolio = fixed.where("seller is not null").groupBy(F.col("seller").alias("_seller")).agg(F.count(F.lit(1)).alias("listed"), F.count_if(old).alias("stale"))
+    portfolio = portfolio.where((F.col("listed") >= 2) & (F.col("stale") >= max(2, least)))
+    below = F.greatest(F.lit(0.0), F.when((F.col("price") > 0) & (F.col("recent") > 0), (F.col("recent") - F.col("price")) / F.col("recent") * 100).otherwise(0.0))
+    rows = fixed.where(old).join(moves, "listing_id").withColumn("gap", below).where((F.col("momentum") >= momentum) & (F.col("gap") >= gap))
+    return rows.join(portfolio, F.col("seller") == F.col("_seller")).select("listing_id", "seller", "listed", "stale", "age_days", "momentum", "gap")
+
+
+@query("WIN-10", sql="with " + ", ".join([SALES_SQL, LISTINGS_SQL]) + """
+, m as (select part_id, recent, (recent / base - 1) * 100 as momentum from (select part_id, count(*) filter (age <= 90) as n, count(*) filter (age > 90 and age <= 365) as b,
+    median(price) filter (age <= 90) as recent, median(price) filter (age > 90 and age <= 365) as base from sales where age >= 0 group by part_id) where n >= 2 and b >= 2 and recent > 0 and base > 0),
+f as (select listing_id, listing_id % 97 as seller, price / size as price, case when listing_id % 13 > 0 then minutes_to_end::double end as age_days from listings where grader <> 'R'),
+s as (select seller, count(*) as listed, count(*) filter (age_days >= 14) as stale from f group by seller)
+select listing_id, f.seller, listed, stale, age_days, round(momentum, 4) as momentum, round(greatest(0, (recent - price) / recent * 100), 4) as gap from f join m on listing_id = part_id join s on s.seller = f.seller
+where age_days >= 14 and listed >= 2 and stale >= 2 and momentum >= 15 and (recent - price) / recent * 100 >= 15""")
 def stale_sellers(spark, sf_dir):
-    w = Window.partitionBy("seller")
-    rows = listings(spark, sf_dir).withColumns({"stale": F.count_if(F.col("minutes_to_end") > 40).over(w), "listed": F.count("listing_id").over(w)})
-    return rows.where("minutes_to_end > 40").select("listing_id", "seller", "stale", "listed", (F.col("stale") >= 0.3 * F.col("listed")).alias("repricing"))
+    g = sales(spark, sf_dir).where("age >= 0").groupBy("part_id").agg(window_count(-1, 90).alias("n"), window_count(90, 365).alias("b"), window_median(-1, 90).alias("recent"), window_median(90, 365).alias("base"))
+    moves = g.where("n >= 2 and b >= 2 and recent > 0 and base > 0").select(F.col("part_id").alias("listing_id"), "recent", ((F.try_divide("recent", "base") - 1) * 100).alias("momentum"))
+    fixed = listings(spark, sf_dir).where("grader <> 'R'").select("listing_id", F.pmod("listing_id", F.lit(97)).alias("seller"), (F.col("price") / F.col("size")).alias("price"), F.when(F.col("listing_id") % 13 > 0, F.col("minutes_to_end").cast("double")).alias("age_days"))
+    rows = stale_seller_signals(fixed, moves)
+    return rows.select("listing_id", "seller", "listed", "stale", "age_days", F.round("momentum", 4).alias("momentum"), F.round("gap", 4).alias("gap"))
 
 
 def price_drop(before: Column, now: Column) -> Column:

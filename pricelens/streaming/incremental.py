@@ -73,23 +73,7 @@ def keyset_backfill(spark, sf_dir):
     return feed.where((F.col("ts") < at) | ((F.col("ts") == at) & (F.col("id") < 5000))).orderBy(F.col("ts").desc(), F.col("id").desc()).limit(300)
 
 
-@query("STM-14", "STM-24", sql="""
-select user_id, n, case when last_kind = 'view' then 20 else least(15 * pow(2, least(n, 10) - 1), 360)::int end as wait_minutes from (select user_id, count(*) filter (event_type = 'error') as n, arg_max(event_type, event_id) as last_kind from events group by user_id) where n > 0""")
-def retry_backoff(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n"), F.max_by("event_type", "event_id").alias("last_kind")).where("n > 0")
-    wait = F.least(15 * F.pow(F.lit(2.0), F.least("n", F.lit(10)) - 1), F.lit(360.0)).cast("int")
-    return g.select("user_id", "n", F.when(F.col("last_kind") == "view", 20).otherwise(wait).alias("wait_minutes"))
-
-
-@query("STM-15", "STM-16", sql="""
-select event_id, user_id, spent <= 12 as allowed from (select event_id, user_id, sum(case when event_type = 'purchase' then 4 else 1 end) over (partition by user_id order by ts, event_id) as spent from events)""")
-def budgeted_calls(spark, sf_dir):
-    cost = F.when(F.col("event_type") == "purchase", 4).otherwise(1)
-    spent = F.sum(cost).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", (spent <= 12).alias("allowed"))
-
-
-@query("STM-07", "STM-12", sql="select user_id, event_type, count(*) as n, max(value) as best from events group by all")
+@query(sql="select user_id, event_type, count(*) as n, max(value) as best from events group by all")
 def grouped_once(spark, sf_dir):
     """One evaluation for each key, joined back by whoever needs it."""
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("event_id").alias("n"), F.max("value").alias("best"))
