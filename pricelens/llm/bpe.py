@@ -234,12 +234,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def shared_bpe(spark, path: str | None = None):
+def shared_bpe(spark, path: str | None = None, kind: type[Bpe] = Bpe):
     """A function that gives the tasks' tokenizer, made once in each worker."""
     with open(path or tokenizer_path(), encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     key = uuid.uuid4().hex
-    return lambda: in_worker(key, lambda: Bpe(definition.value))
+    return lambda: in_worker(key, lambda: kind(definition.value))
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -180,3 +180,17 @@ def test_bounds_never_exclude_the_nearest_and_spare_distances():
     all_ = ((x[:, None] - centres[None]) ** 2).sum(2)
     assert (place == all_.argmin(1)).all() and (best == all_.min(1)).all()
     assert measured[0] < 0.5 * all_.size
+
+
+def test_merge_rounds_equal_the_trie_walk():
+    from pricelens.llm.bpe import Bpe, tokenizer_path
+    from pricelens.llm.merge_rounds import RoundsBpe
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        definition = f.read()
+    a, b = Bpe(definition), RoundsBpe(definition)
+    r = random.Random(8)
+    names = {"".join(r.choice("etaoin shrdlué中\t\n'09") for _ in range(r.randrange(1, 45))) for _ in range(4000)} | {"", "a" * 300, "ab" * 100, " the", "\U0001f600" * 9}
+    assert b.encode_words(names) == a.encode_words(names)
+    texts = [t or "" for _, t in awkward()]
+    assert b.encode(texts) == a.encode(texts)
