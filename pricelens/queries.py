@@ -5,4 +5,4 @@ from .operators import catalog, fair_value, joins, ratios, robust, selection, si
 from .plans import economics, providers  # noqa: F401
 from .sources import adapters, pages, sale_source, state  # noqa: F401
 from .registry import COVERS, QUERIES, SQL  # noqa: F401
-from .streaming import alerts, budgets, commits, incremental  # noqa: F401
+from .streaming import alerts, budgets, commits, incremental, twins  # noqa: F401
