@@ -135,7 +135,7 @@ def numbers_in_texts(spark, sf_dir):
     return d.select("doc_id", F.size("n").cast("long").alias("numbers"), F.when(F.size(F.array_distinct("n")) == 1, F.col("n")[0]).alias("only_one"))
 
 
-@query("STR-27", "STR-28", "STR-29", sql="""
+@query(sql="""
 select a, b, score from (select x.p_partkey as a, y.p_partkey as b, 100 * len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' '))) // greatest(len(list_distinct(string_split(x.p_name, ' '))), 1) as score
   from part x join part y on x.p_brand = y.p_brand and x.p_type = y.p_type and x.p_partkey < y.p_partkey and x.p_size = y.p_size)""")
 def token_overlap(spark, sf_dir):
