@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .bpe import Bpe
+from .bpe import Bpe, pieces_of
 
 #: Bytes up to which a word takes part in rounds.
 SHORT = 40
@@ -100,21 +100,31 @@ class RoundsBpe(Bpe):
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_words(self, words) -> dict[str, bytes]:
-        by: dict[int, tuple[list[str], list[bytes]]] = {}
-        out: dict[str, bytes] = {}
-        long_words = []
-        for w in words:
-            raw = w.encode()
-            if len(raw) > SHORT:
-                long_words.append(w)
-            elif raw:
-                names, rows = by.setdefault(len(raw), ([], []))
-                names.append(w)
-                rows.append(raw)
+        words = list(words)
+        raw = list(map(str.encode, words))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(size, kind="stable")
+        borders = [*np.flatnonzero(np.diff(size[order], prepend=-1)).tolist(), len(order)]
+        order, out, long_words = order.tolist(), {}, []
+        for a, b in zip(borders, borders[1:]):
+            group, n = order[a:b], int(size[order[a]])
+            if n > SHORT:
+                long_words += map(words.__getitem__, group)
             else:
-                out[w] = b""
-        for size, (names, rows) in by.items():
-            out.update(zip(names, self._rows(rows, size)))
+                out.update(zip(map(words.__getitem__, group), self._rows(list(map(raw.__getitem__, group)), n) if n else [b""] * len(group)))
         if long_words:
             out.update(super().encode_words(long_words))
         return out
+
+    def learn(self, runs) -> None:
+        """As in Bpe; letters, alone or after a space, are one pre-token and need no look at each."""
+        known = self._known("runs")
+        new = runs - known.keys()
+        self.held["runs"] += sum(map(len, new))
+        plain = {r for r in new if r.lstrip(" ").isalpha()}
+        cut = {r: pieces_of(r) for r in new - plain}
+        known.update(self.encode_words(plain))
+        self.learn_pieces(set().union(*cut.values()))
+        get = self.ids.__getitem__
+        for r, pieces in cut.items():
+            known[r] = b"".join(map(get, pieces))
