@@ -150,7 +150,7 @@ def token_overlap(spark, sf_dir):
 DIMENSIONS = {"color": "(red|blue|green|hot|cold)", "kind": "(ring|widget|bolt|gear|gizmo)", "size": "(small|large|big)"}
 
 
-@query("NST-10", "NST-11", sql="""
+@query(sql="""
 select p_partkey, nullif(regexp_extract(p_name, '(red|blue|green|hot|cold)', 1), '') as color, nullif(regexp_extract(p_name, '(ring|widget|bolt|gear|gizmo)', 1), '') as kind, nullif(regexp_extract(p_name, '(small|large|big)', 1), '') as size,
   (case when regexp_matches(p_name, '(red|blue|green|hot|cold)') then 0 else 1 end + case when regexp_matches(p_name, '(ring|widget|bolt|gear|gizmo)') then 0 else 1 end + case when regexp_matches(p_name, '(small|large|big)') then 0 else 1 end)::int as unknown from part""")
 def item_dimensions(spark, sf_dir):
@@ -178,7 +178,7 @@ def equivalent_names(spark, sf_dir):
     return x.join(y, ["p_brand", "p_size"]).where((F.col("a") != F.col("b")) & same).select("a", "b")
 
 
-@query("STR-53", "UDF-12", sql="select p_partkey, unnest(range(greatest(p_size - 2, 1), p_size + 1))::int as candidate from part")
+@query(sql="select p_partkey, unnest(range(greatest(p_size - 2, 1), p_size + 1))::int as candidate from part")
 def coordinate_candidates(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", F.explode(F.sequence(F.greatest(F.col("p_size") - 2, F.lit(1)), "p_size")).alias("candidate"))

@@ -220,7 +220,7 @@ def rejection_buckets(spark, sf_dir):
     return o.groupBy(bucket.alias("bucket"), F.col("o_orderstatus").alias("market")).agg(F.count("o_orderkey").alias("n"))
 
 
-@query("JOI-32", "JOI-33", "JOI-34", sql=with_sales("""
+@query(sql=with_sales("""
 select l.listing_id, l.identity, round(f.m, 6) as fair, s.seller_price is not null as has_own from listings l left join (select identity, median(price) as m from sales group by identity) f using (identity)
 left join (select part_id, min(price) as seller_price from sales where grader = 'N' group by part_id) s on l.listing_id = s.part_id""", LISTINGS_SQL))
 def cards_with_fair_value(spark, sf_dir):

@@ -109,7 +109,7 @@ def provider_levels(spark, sf_dir):
     )
 
 
-@query("AGG-27", "AGG-33", "FLT-15", sql=with_sales("""
+@query("AGG-27", "AGG-33", sql=with_sales("""
 select part_id, count(*) as providers, round(1e-9 + median(c), 6) as central, round(1e-9 + min(c) * 0.9, 6) as low, round(1e-9 + max(c) * 1.1, 6) as high,
   case when count(*) < 2 then 'weak' when max(c) / min(c) <= 1.35 and (max(c) - min(c)) / median(c) <= 0.35 then 'strong' when max(c) / min(c) <= 1.75 then 'moderate' else 'weak' end as consensus
 from (select p.*, x.clean from p join (select part_id, median(c) as clean from p group by part_id) x using (part_id)) where c between 0.4 * clean and 1.8 * clean group by part_id""", "p as (select part_id, grader || source as provider, median(price) as c from sales group by all having count(*) >= 2)"))

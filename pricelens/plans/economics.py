@@ -57,7 +57,7 @@ def landed_prices(spark, sf_dir):
     return listings(spark, sf_dir).select("listing_id", F.round(landed, 6).alias("landed"), ((value - landed) / value >= 0.3).alias("good"))
 
 
-@query("AUD-01", "AUD-02", "AUD-03", "AUD-04", "SRC-03", sql="""
+@query("SRC-03", sql="""
 select page, rows, different, rows - different as repeated, case when rows = 500 then 'complete' when rows > different then 'unknown' else 'incomplete' end as status from (select event_id // 500 as page, count(*) as rows, count(distinct user_id) as different from events group by 1)""")
 def page_coverage(spark, sf_dir):
     g = table(spark, sf_dir, "events").groupBy(F.expr("event_id div 500").alias("page")).agg(F.count("event_id").alias("rows"), F.count_distinct("user_id").alias("different"))
