@@ -73,28 +73,33 @@ class RoundsBpe(Bpe):
         rank = np.full((n, size), NONE)  # of the pair that begins at a place
         if size > 1:
             rank[:, :-1] = self._rank(token[:, :-1].ravel(), token[:, 1:].ravel()).reshape(n, size - 1)
-        after = np.tile(np.arange(1, size + 1), (n, 1))
-        before = np.tile(np.arange(-1, size - 1), (n, 1))
+        after = np.tile(np.arange(1, size + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, size - 1, dtype=np.int32), (n, 1))
+        # flat views, so that a place is one number
+        token_, alive_, rank_, after_, before_ = (x.reshape(-1) for x in (token, alive, rank, after, before))
         row = np.arange(n)
-        while len(row):
-            at = rank[row].argmin(1)
-            least = rank[row, at]
+        while True:
+            at = (rank if len(row) == n else rank[row]).argmin(1)
+            base = row * size
+            here = base + at
+            least = rank_[here]
             busy = least != NONE
-            row, at, least = row[busy], at[busy], least[busy]
+            if not busy.all():
+                row, at, base, here, least = row[busy], at[busy], base[busy], here[busy], least[busy]
             if not len(row):
                 break
-            gone = after[row, at]
-            token[row, at] = self.made[least]
-            alive[row, gone], rank[row, gone] = False, NONE
-            far = after[row, gone]
-            after[row, at] = far
-            has = far < size
-            before[row[has], far[has]] = at[has]
-            rank[row, at] = NONE
-            rank[row[has], at[has]] = self._rank(token[row[has], at[has]], token[row[has], far[has]])
-            back = before[row, at]
-            has = back >= 0
-            rank[row[has], back[has]] = self._rank(token[row[has], back[has]], token[row[has], at[has]])
+            gone = base + after_[here]
+            far = after_[gone]
+            token_[here] = self.made[least]
+            alive_[gone], rank_[gone] = False, NONE
+            after_[here] = far
+            back = before_[here]
+            has_far, has_back = np.flatnonzero(far < size), np.flatnonzero(back >= 0)
+            right, left = base[has_far] + far[has_far], base[has_back] + back[has_back]
+            before_[right] = at[has_far]
+            rank_[here] = NONE
+            both = self._rank(np.concatenate((token_[here[has_far]], token_[left])), np.concatenate((token_[right], token_[here[has_back]])))
+            rank_[here[has_far]], rank_[left] = both[: len(has_far)], both[len(has_far) :]
         ids = token[alive].astype("<u4").tobytes()
         ends = (4 * np.cumsum(alive.sum(1))).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
