@@ -85,9 +85,11 @@ def key_of(*parts: Column) -> Column:
 
 
 @query("STR-01", "STR-02", "STR-03", "STR-04", "STR-46", sql=rf"""
-select doc_id, substr(trim(regexp_replace(lower(regexp_replace(translate(lower(text), '{MARKED}', '{PLAIN}'), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), 1, 80) as normal from documents where text is not null""")
+select doc_id, len(n) as length, sha256(n) as digest from (select doc_id, trim(regexp_replace(lower(regexp_replace(translate(lower(text), '{MARKED}', '{PLAIN}'), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) as n from documents where text is not null)""")
 def normal_texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.substring(normal(F.col("text")), 1, 80).alias("normal"))
+    """The normal forms of whole texts, by length and digest."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", normal(F.col("text")).alias("n"))
+    return rows.select("doc_id", F.length("n").cast("long").alias("length"), F.sha2("n", 256).alias("digest"))
 
 
 @query("STR-05", "STR-25", "STR-26", "STR-42", "STR-49", sql="""
@@ -99,7 +101,7 @@ def card_numbers(spark, sf_dir):
     return p.select("p_partkey", number.alias("number"), (F.split(number, "/")[0] == (F.col("p_partkey") % 60).cast("string")).alias("same"))
 
 
-@query("STR-07", "STR-08", "STR-09", "STR-50", "STR-51", "FLT-05", "FLT-06", "FLT-07", sql="""
+@query("STR-07", "STR-08", "STR-09", "STR-50", sql="""
 select distinct l_linenumber as n, case when l_linenumber % 3 = 0 then null else (case when l_linenumber % 2 = 0 then (l_linenumber // 2)::varchar else (l_linenumber // 2)::varchar || '.5' end) || '|' || l_returnflag end as key,
   l_returnflag || '_' || case when l_linenumber % 2 = 0 then (l_linenumber // 2)::varchar else (l_linenumber // 2)::varchar || '_5' end as tier from lineitem""")
 def strict_keys(spark, sf_dir):
@@ -198,7 +200,7 @@ def html_lines(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("lines"))
 
 
-@query("SRC-04", "FLT-01", "FLT-02", "FLT-20", "FLT-21", sql=r"""
+@query("SRC-04", sql=r"""
 select page_id, len(l) as links, len(list_distinct(l)) as different, regexp_matches(html, 'class="ad"') and not regexp_matches(html, 'nofollow') as valid from (select page_id, html, regexp_extract_all(html, 'href="([^"]+)"', 1) as l from pages)""")
 def page_links(spark, sf_dir):
     links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))

@@ -96,7 +96,7 @@ def date_matched_ratios(spark, sf_dir):
     return per.groupBy("identity").agg(F.count("ratio").alias("pairs"), F.round(F.median("ratio"), 6).alias("ratio"), F.min("delta").alias("nearest"))
 
 
-@query("AGG-24", "NUM-31", "NUM-32", "NUM-33", sql=with_sales("""
+@query("AGG-24", sql=with_sales("""
 select identity, level, count(*) as providers, round(median(m), 6) as central, round(min(m), 6) as low, round(max(m), 6) as high, (max(m) - min(m)) / median(m) > 0.5 as conflict,
   case when count(*) = 1 then 'single' when max(m) / min(m) > 1.25 then 'conflict' else 'agreed' end as decision
 from (select identity, grade::int as level, grader, median(price) as m from sales group by all) group by identity, level"""))

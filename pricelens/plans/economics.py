@@ -76,7 +76,7 @@ def funnel(spark, sf_dir):
 
 
 @query("SRC-05", "SRC-06", sql="""
-select event_id, in_order from (select event_id, ts, lag(ts) over (order by event_id // 1000, event_id) <= ts + interval 1 second or lag(ts) over (order by event_id // 1000, event_id) is null as in_order from events) where ts <= timestamp '2024-01-03'""")
+select event_id, in_order from (select event_id, ts, lag(ts) over (order by event_id // 1000, event_id) <= ts + interval 1 second or lag(ts) over (order by event_id // 1000, event_id) is null as in_order from events)""")
 def ordered_scan(spark, sf_dir):
     """Whether a page order is the time order, within a second; the order is checked page by page, with the last row before."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", F.expr("event_id div 1000").alias("page"))
@@ -84,10 +84,10 @@ def ordered_scan(spark, sf_dir):
     last = e.groupBy((F.col("page") + 1).alias("page")).agg(F.max_by("ts", "event_id").alias("last"))
     rows = e.withColumn("inner", inner).join(last, "page", "left").withColumn("before", F.coalesce("inner", "last"))
     ok = F.col("before").isNull() | (F.col("before") <= F.col("ts") + F.expr("interval 1 second"))
-    return rows.where("ts <= timestamp '2024-01-03'").select("event_id", ok.alias("in_order"))
+    return rows.select("event_id", ok.alias("in_order"))
 
 
-@query("FLT-03", "FLT-04", "FLT-12", "FLT-16", "FLT-17", "FLT-22", "FLT-23", sql=with_sales("""
+@query("FLT-03", sql=with_sales("""
 select l.listing_id, (l.grader <> 'N' or l.grade in (2, 4, 6)) as in_scope, n >= 3 and best < 0.7::double * m as candidate from listings l left join (select part_id, count(*) as n, median(price) as m, min(price) as best from sales group by part_id) s on l.listing_id = s.part_id""", LISTINGS_SQL))
 def scope_gates(spark, sf_dir):
     s = sales(spark, sf_dir).groupBy("part_id").agg(F.count("price").alias("n"), F.median("price").alias("m"), F.min("price").alias("best"))

@@ -46,9 +46,12 @@ def notification_step(last: dict | None, tick: dict) -> tuple[dict | None, tuple
     """Whether a priced lot is announced (again): (next state, (decision, final)).
 
     First seen: yes. Later: the price fell by a tenth, the discount grew by 5 points, an auction is below its
-    limit in the last 5 minutes (once), or passed under 15 minutes (once). The state changes with what is sent.
+    limit in the last 5 minutes (once), or passed under 15 minutes (once). The state changes with what is sent. A tick without a price or a discount is
+    unknown and changes nothing.
     """
     auction, minutes, price = tick["auction"], tick["minutes"], tick["price"]
+    if price is None or tick["discount"] is None:  # nothing is known that could be announced
+        return last, ("unknown", False)
     due = bool(auction and minutes is not None and minutes <= 5 and price <= tick["limit"])
     final = due and not (last and last["final"])
     if last is None:
