@@ -7,9 +7,12 @@ of the length, take the trie walk.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 
-from .bpe import Bpe, pieces_of
+from .bpe import Bpe, pieces_of, tokenizer_path
+from .common import in_worker
 
 #: Bytes up to which a word takes part in rounds.
 SHORT = 40
@@ -133,3 +136,11 @@ class RoundsBpe(Bpe):
         get = self.ids.__getitem__
         for r, pieces in cut.items():
             known[r] = b"".join(map(get, pieces))
+
+
+def shared_rounds(spark, path: str | None = None):
+    """A function that gives the tasks' tokenizer, made once in each worker; the file's size does not depend on the data."""
+    with open(path or tokenizer_path(), encoding="utf-8") as f:
+        definition = spark.sparkContext.broadcast(f.read())
+    key = uuid.uuid4().hex
+    return lambda: in_worker(key, lambda: RoundsBpe(definition.value))

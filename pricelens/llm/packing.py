@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import shared_bpe
 from .common import slices, table, written
-from .merge_rounds import RoundsBpe
+from .merge_rounds import shared_rounds
 
 #: Pieces of a shard, about.
 SHARD = 16_384
@@ -35,7 +34,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 def pieces(docs: DataFrame, size: int = 2048, end: int = 0, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every document's pieces."""
-    bpe = shared_bpe(docs.sparkSession, path, RoundsBpe)
+    bpe = shared_rounds(docs.sparkSession, path)
     last = end.to_bytes(4, "little")
 
     def run(batches):
