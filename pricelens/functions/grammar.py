@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .history import every
 from .parsing import HOUSES, found
 from .text import MARKED, PLAIN
@@ -263,7 +263,7 @@ select k, unnest(case k % 4 when 0 then ['1:' || t || ' ' || a || ':' || b, '2:'
   when 1 then ['1:' || t || ':' || a || ' ' || b] when 2 then ['1:' || a || ':' || b, '2:' || b || ':' || a, '3::' || a || ' ' || b] else ['language unproven'] end) as reading from p""")
 def title_readings(spark, sf_dir):
     """Readings of loose titles: the number at the end, a name after it, a fraction without a set, a title without a language."""
-    p = table(spark, sf_dir, "part").where(F.size(F.split("p_name", " ")) == 2)
+    p = spread(table(spark, sf_dir, "part"), "p_partkey").where(F.size(F.split("p_name", " ")) == 2)
     k, s, t = F.col("p_partkey"), F.col("p_size").cast("string"), F.lower("p_type")
     forms = [
         F.concat(F.lit("2023 Japanese Pokemon "), t, F.lit(" "), "p_name", F.lit(" 0"), s, F.lit(" PSA 10")), F.concat(F.lit("Pokemon 2021 JPN "), t, F.lit(" #"), s, F.lit(" FA/"), "p_name", F.lit(" PSA 9")),

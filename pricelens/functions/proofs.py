@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .history import every
 from .parsing import clean_title
 from .text import LANGUAGES, alias, plain
@@ -174,7 +174,7 @@ select p_partkey as k, case p_partkey % 10 when 0 then 'ongoing auction' when 1
   when p_size % 2 = 0 and p_partkey % 10 in (6, 7) then 'variant unproven: 1st edition' when p_size % 3 = 0 and p_partkey % 10 in (6, 7) then 'variant unproven: shadowless' else 'proven' end as strict from part""")
 def text_proofs(spark, sf_dir):
     """What an ask's text proves of the card that it is said to be, by the loose and by the strict rule."""
-    p, k, s = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size")
+    p, k, s = spread(table(spark, sf_dir, "part"), "p_partkey"), F.col("p_partkey"), F.col("p_size")
     number = F.concat(F.lit("0"), s.cast("string"), F.lit(" / 0"), k.cast("string"))
     asked = F.concat(s.cast("string"), F.lit("/"), k.cast("string"))
     said_name = F.when(k % 10 == 5, "something").otherwise(F.upper("p_name"))

@@ -50,13 +50,60 @@ def offers_in_eur(spark, sf_dir):
     return rows.select("listing_id", "currency", F.round(to_eur(F.col("price"), F.col("per_eur")), 6).alias("eur"), F.round(all_in(F.col("price"), F.col("fee_rate"), F.col("flat"), F.col("per_eur")), 6).alias("all_in"))
 
 
-@query("NUM-10", "NUM-11", "SRC-22", sql=f"with {RATES_SQL} select a.currency as source, b.currency as target, round(b.per_eur / a.per_eur, 8) as rate from rates a, rates b")
-def cross_rates(spark, sf_dir):
-    xml = F.lit("<rates>" + "".join(f'<cube currency="{c}" rate="{r}"/>' for c, r in RATES.items()) + "</rates>")
-    feed = spark.range(1).select(F.arrays_zip(F.xpath(xml, F.lit("/rates/cube/@currency")).alias("c"), F.xpath(xml, F.lit("/rates/cube/@rate")).alias("r")).alias("z"))
-    r = feed.select(F.explode("z").alias("z")).select(F.col("z.c").alias("currency"), F.col("z.r").cast("double").alias("per_eur")).where("per_eur > 0")
-    other = r.select(F.col("currency").alias("target"), F.col("per_eur").alias("to"))
-    return r.join(other, F.lit(True)).select(F.col("currency").alias("source"), "target", F.round(F.col("to") / F.col("per_eur"), 8).alias("rate"))  # a handful of currencies
+def rate_rows(documents: DataFrame, xml: str) -> DataFrame:
+    """documents with rate_date, currency and per_eur: a row for each currency of a document of reference rates (elements with currency and rate below one with time).
+
+    A document without a valid date, a currency without a rate above zero, or no document gives no row; the last rate of a currency counts.
+    """
+    tag = F.regexp_extract_all(xml, F.lit(r"(?s)<[^>]*\bcurrency\s*=[^>]*>"), F.lit(0))
+    value = lambda e, name: F.trim(F.regexp_extract(e, rf"(?s)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1))
+    day = F.try_to_date(F.regexp_extract(xml, r"\btime\s*=\s*[\"'](\d{4}-\d{2}-\d{2})[\"']", 1), "yyyy-MM-dd")
+    keys = [c for c in documents.columns if c != xml]
+    rows = documents.select(*keys, day.alias("rate_date"), F.posexplode(tag).alias("_at", "_e")).where("rate_date is not null")
+    rows = rows.select(*keys, "rate_date", "_at", F.upper(value(F.col("_e"), "currency")).alias("currency"), value(F.col("_e"), "rate").try_cast("double").alias("per_eur")).where("currency <> '' and per_eur > 0")
+    return rows.groupBy(*keys, "rate_date", "currency").agg(F.max_by("per_eur", "_at").alias("per_eur"))
+
+
+def converted(amounts: DataFrame, rates: DataFrame) -> DataFrame:
+    """amounts (amount, source, target) with rate and converted: over the euro, null where a rate is unknown; equal currencies need none. rates: currency, per_eur."""
+    code = lambda c: F.upper(F.trim(c))
+    side = lambda name: rates.where("per_eur > 0").select(F.col("currency").alias(f"_{name}"), F.col("per_eur").alias(f"_{name}_rate"))
+    rows = amounts.join(side("source"), code(F.col("source")) == F.col("_source"), "left").join(side("target"), code(F.col("target")) == F.col("_target"), "left")
+    of = lambda name: F.when(code(F.col(name)) == "EUR", 1.0).otherwise(F.col(f"_{name}_rate"))
+    rate = F.when(code(F.col("source")) == code(F.col("target")), 1.0).otherwise(of("target") / of("source"))
+    return rows.select(*amounts.columns, rate.alias("rate"), (F.col("amount") * rate).alias("converted"))
+
+
+NATION_RATES_SQL = """n as (select n_nationkey as k, n_regionkey as region, 'C' || lpad(n_nationkey::varchar, 2, '0') as currency, (n_nationkey * 7 % 23) / 4.0::double as per_eur from nation), good as (select * from n where per_eur > 0 and k % 8 <> 5)"""
+
+
+def rate_documents(spark, sf_dir) -> DataFrame:
+    """A document of rates for each region, with the currencies of its nations; some rates are zero, one in eight is no number, and every currency stands there twice."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    code = F.concat(F.lit("c"), F.lpad(k.cast("string"), 2, "0"))
+    element = lambda rate: F.concat(F.lit('<Cube currency="'), code, F.lit("\" rate='"), rate, F.lit("'/>"))
+    rate = F.when(k % 8 == 5, "n/a").otherwise(((k * 7 % 23) / 4).cast("string"))
+    old = F.when((k % 8 == 5) | (k * 7 % 23 == 0), "0").otherwise("99.5")
+    body = F.array_join(F.sort_array(F.collect_list(F.struct(k, F.concat(element(old), element(rate)).alias("e"))))["e"], "\n")  # a region's nations
+    return n.groupBy(F.col("n_regionkey").alias("region")).agg(F.concat(F.lit("<Envelope><Cube><Cube time='2026-08-0"), (F.col("region") + 1).cast("string"), F.lit("'>"), body, F.lit("</Cube></Cube></Envelope>")).alias("xml"))
+
+
+@query("SRC-22", sql=f"with {NATION_RATES_SQL} select region, '2026-08-0' || (region + 1) as rate_date, currency, per_eur from good")
+def reference_rates(spark, sf_dir):
+    return rate_rows(rate_documents(spark, sf_dir), "xml").select("region", F.col("rate_date").cast("string").alias("rate_date"), "currency", "per_eur")
+
+
+@query("NUM-10", "NUM-11", sql=f"""
+with {NATION_RATES_SQL}, a as (select s_suppkey, s_acctbal as amount, 'C' || lpad(s_nationkey::varchar, 2, '0') as s, case s_suppkey % 4 when 0 then 'EUR' when 1 then 'C03' when 2 then 'C' || lpad(s_nationkey::varchar, 2, '0') else 'XXX' end as t from supplier),
+j as (select a.*, case when s = t then 1 when t = 'EUR' then 1 / x.per_eur else y.per_eur / x.per_eur end as rate from a left join good x on x.currency = s left join good y on y.currency = t)
+select s_suppkey, round(rate, 8) as rate, round(amount * rate, 6) as converted from j""")
+def converted_balances(spark, sf_dir):
+    """Balances of suppliers from their nation's currency into the euro, another currency, the same one, and one without a rate."""
+    code = F.concat(F.lit("c"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"))
+    target = F.element_at(F.array(F.lit(" eur"), F.lit("C03"), F.upper(code), F.lit("XXX")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    amounts = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("amount"), code.alias("source"), target.alias("target"))
+    rows = converted(amounts, rate_rows(rate_documents(spark, sf_dir), "xml").select("currency", "per_eur"))
+    return rows.select("s_suppkey", F.round("rate", 8).alias("rate"), F.round("converted", 6).alias("converted"))
 
 
 FAIR = """

@@ -25,7 +25,7 @@ def latest_order_of_customer(spark, sf_dir):
     return rows.select("c_custkey", "c_name", "o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"), "n_name")
 
 
-@query("JOI-03", "SRC-28", sql="""
+@query("JOI-03", sql="""
 select p_partkey, p_name, p_brand, coalesce(n, 0) as n from part left join (select l_partkey, count(*) as n from lineitem group by l_partkey) on p_partkey = l_partkey
 where p_name ilike '%ring%' or exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity >= 50 and l_discount >= 0.1)""")
 def search_parts(spark, sf_dir):

@@ -134,7 +134,7 @@ def weighted_anchors(spark, sf_dir):
     return a.groupBy("part_id").agg(F.count("c").alias("anchors"), F.round(central, 4).alias("central"), F.when(gap <= 0.35, "tight").when(gap <= 1, "wide").otherwise("loose").alias("spread"))
 
 
-@query("SRC-23", "SRC-24", "STR-44", "STR-45", sql="""
+@query("SRC-23", "SRC-24", sql="""
 select currency, count(*) as n, count(*) filter (not valid) as invalid, round(sum(price) filter (valid), 2) as total from (
   select *, price > 0 and status = 'sold' and regexp_full_match(currency, '[A-Z]{3}') as valid from (
     select case event_type when 'purchase' then 'sold' when 'signup' then 'sold' else 'open' end as status, value as price, case user_id % 4 when 0 then 'EUR' when 1 then 'USD' when 2 then 'eur' else 'JPY' end as currency from events)) group by currency""")

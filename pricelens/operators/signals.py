@@ -122,7 +122,7 @@ def price_drops(spark, sf_dir):
     return rows.select("event_id", "user_id", F.round(price_drop(F.col("prev"), F.col("value")), 4).alias("drop_pct"))
 
 
-@query("WIN-13", "TOP-03", "FLT-13", sql="with " + LISTINGS_SQL.strip() + """
+@query("WIN-13", "TOP-03", sql="with " + LISTINGS_SQL.strip() + """
 select listing_id, (case when price < 1000 then 30 else 0 end + case when grade >= 5 then 20 else 0 end + case when minutes_to_end <= 15 then 25 else 0 end + case when grader = 'N' then 10 else 0 end)::int as score from listings""")
 def priority_scores(spark, sf_dir):
     points = lambda c, n: F.when(c, n).otherwise(0)

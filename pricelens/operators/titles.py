@@ -17,7 +17,7 @@ from ..functions.history import COMPACT, HOUSE, short_grade
 from ..functions.parsing import found
 from ..functions.text import plain
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 #: Words that say nothing about a card, goods that are no cards, words for languages.
 COMMON = ["pokemon", "pokémon", "the", "and", "les", "des", "une", "card", "full", "art", "holo", "reverse", "psa", "auction", "prices"]
@@ -109,52 +109,61 @@ def certified_score(target: dict[str, Column], text: Column, ref: Column, year:
     return F.when(wrong | ~enough, 0).otherwise(points)
 
 
-def title_keys(title: Column) -> Column:
-    """What a title can be found by: its words, and for each slash what ends before it and begins after it."""
-    compact = bare(title)
-    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(TOKEN), F.lit(0))), lambda w: F.concat(F.lit("w:"), w))
-    pieces = F.split(compact, "/")
-    pairs = F.filter(F.zip_with(pieces, F.slice(pieces, 2, F.size(pieces)), lambda a, b: F.struct(F.right(a, F.lit(REACH)).alias("a"), F.left(b, F.lit(REACH)).alias("b"))), lambda p: (p["a"] != "") & (p["b"] != ""))
-    ends = lambda p: F.transform(F.sequence(F.lit(1), F.length(p["a"])), lambda n: F.right(p["a"], n))
-    starts = lambda p: F.transform(F.sequence(F.lit(1), F.length(p["b"])), lambda n: F.left(p["b"], n))
-    slashes = F.flatten(F.transform(pairs, lambda p: F.flatten(F.transform(ends(p), lambda a: F.transform(starts(p), lambda b: F.concat(F.lit("r:"), a, F.lit("/"), b))))))
-    marks = F.transform(F.regexp_extract_all(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "#", ""), F.lit("[a-z0-9-]+"), F.lit(0)), lambda w: F.concat(F.lit("r:"), w))
-    return F.array_distinct(F.concat(words, slashes, marks))
+def word_index(titles: DataFrame) -> DataFrame:
+    """title_id, key (a word of the title) and words (all of them)."""
+    t = spread(titles.select("title_id", F.lower(F.coalesce("title", F.lit(""))).alias("_t")), "title_id")
+    words = t.select("title_id", F.array_distinct(F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0))).alias("words"))
+    return words.select("title_id", F.explode("words").alias("key"), "words")
+
+
+def reference_index(titles: DataFrame) -> DataFrame:
+    """title_id and key: what could be a reference of its own, and for each slash what ends before it and begins after it, up to REACH characters."""
+    t = spread(titles.select("title_id", F.lower(F.coalesce("title", F.lit(""))).alias("_t")), "title_id")
+    marks = t.select("title_id", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("_t", "#", ""), F.lit("[a-z0-9-]+"), F.lit(0)))).alias("key"))
+    pieces = t.where(F.col("_t").contains("/")).select("title_id", F.split(bare(F.col("_t")), "/").alias("_p"))
+    sides = pieces.select("title_id", F.explode(F.arrays_zip(F.col("_p").alias("a"), F.slice("_p", 2, F.size("_p")).alias("b"))).alias("s")).select("title_id", F.right("s.a", F.lit(REACH)).alias("a"), F.left("s.b", F.lit(REACH)).alias("b")).where("a <> '' and b <> ''")
+    ends = sides.select("title_id", "a", "b", F.explode(F.sequence(F.lit(1), F.length("a"))).alias("n")).select("title_id", F.right("a", F.col("n")).alias("a"), "b", F.explode(F.sequence(F.lit(1), F.length("b"))).alias("m"))
+    return marks.unionByName(ends.select("title_id", F.concat("a", F.lit("/"), F.left("b", F.col("m"))).alias("key")))
 
 
 def ref_key(ref: Column) -> Column:
     """What a reference is looked up by; null without one."""
     s = bare(ref)
     before, after = F.split_part(s, F.lit("/"), F.lit(1)), F.split_part(s, F.lit("/"), F.lit(2))
-    return F.when(s.contains("/"), F.concat(F.lit("r:"), F.right(before, F.lit(REACH)), F.lit("/"), F.left(after, F.lit(REACH)))).when(s != "", F.concat(F.lit("r:"), s))
+    return F.when(s.contains("/"), F.concat(F.right(before, F.lit(REACH)), F.lit("/"), F.left(after, F.lit(REACH)))).when(s != "", s)
 
 
 def matched_titles(targets: DataFrame, titles: DataFrame, least: int = 70) -> DataFrame:
     """target, title_id and score of every title that scores `least` or more for a target (by sale_title_score).
 
     targets have target and the IDENTITY columns, titles have title_id and title. least must be above 38, what grade, house and language can
-    add without a word. A reference is found inside a longer one as the score finds it where it has one slash, a
-    word or a reference without a slash where it stands as a word of its own.
+    add without a word. Titles found by a word are scored only if they hold as many points of the target's words as a match
+    without the reference needs. A reference is found inside a longer one as the score finds it where it has one slash; a
+    word, or a reference without a slash, where it stands as a word of its own.
     """
     if least <= 38:
         raise ValueError("least must be above 38")
+    need = least - 38  # points that words must bring where the reference does not
     t = targets.select("target", *IDENTITY)
-    words = F.array_distinct(F.concat(
-        F.transform(tokens(F.col("series"), COMMON_IN_SERIES, 5), lambda w: F.struct(F.concat(F.lit("w:"), w).alias("key"), F.lit(6).alias("points"))),
-        F.transform(tokens(F.col("core"), COMMON_IN_NAMES, 5), lambda w: F.struct(F.concat(F.lit("w:"), w).alias("key"), F.lit(8).alias("points"))),
-        F.array(F.struct(F.concat(F.lit("w:"), F.coalesce(F.col("year").cast("string"), F.lit(""))).alias("key"), F.lit(8).alias("points"))),
-    ))
-    index = titles.select("title_id", F.explode(title_keys(F.col("title"))).alias("key"))
-    asked = t.select("target", F.explode(words).alias("w")).groupBy("target", "w.key").agg(F.sum("w.points").alias("points"))
-    in_reach = Window.partitionBy("target")
-    asked = asked.withColumn("_all", F.sum("points").over(in_reach)).where(F.col("_all") + 38 >= least)
-    seen = index.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("title_id").alias("n"))
-    rarest = in_reach.orderBy("n", "key").rowsBetween(Window.unboundedPreceding, -1)
-    asked = asked.join(seen, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    prefix = asked.withColumn("_before", F.coalesce(F.sum("points").over(rarest), F.lit(0))).where(F.col("_before") <= F.col("_all") + 38 - least)
-    keys = prefix.select("target", "key").unionByName(t.select("target", ref_key(F.col("ref")).alias("key")).where("key is not null"))
-    pairs = keys.join(index, "key").select("target", "title_id").distinct()
-    rows = pairs.join(t, "target").join(titles.select("title_id", "title"), "title_id")
+    word = lambda w, points: F.struct(w.alias("key"), F.lit(points).alias("points"))
+    words = F.concat(
+        F.transform(tokens(F.col("series"), COMMON_IN_SERIES, 5), lambda w: word(w, 6)), F.transform(tokens(F.col("core"), COMMON_IN_NAMES, 5), lambda w: word(w, 8)),
+        F.array(word(F.coalesce(F.col("year").cast("string"), F.lit("")), 8)),
+    )
+    times = lambda column, common, points: F.size(tokens(F.col(column), common, 5)) * points
+    able = t.where(times("series", COMMON_IN_SERIES, 6) + times("core", COMMON_IN_NAMES, 8) + 8 >= need)
+    asked = able.select("target", F.explode(words).alias("w")).groupBy("target", "w.key").agg(F.sum("w.points").alias("points"))
+    by_word = word_index(titles)
+    seen = by_word.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("title_id").alias("n"))
+    own = Window.partitionBy("target")
+    asked = asked.join(seen, "key", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "_all": F.sum("points").over(own)})
+    asked = asked.withColumn("_before", F.coalesce(F.sum("points").over(own.orderBy("n", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    keys = asked.where(F.col("_before") <= F.col("_all") - need).select("target", "key")  # of these one at least is in every match
+    points = asked.groupBy("target").agg(F.map_from_entries(F.collect_list(F.struct("key", "points"))).alias("_points"))  # eleven words at most
+    held = F.aggregate(F.filter(F.map_keys("_points"), lambda w: F.array_contains("words", w)), F.lit(0), lambda a, w: a + F.element_at("_points", w).cast("int"))
+    found = keys.join(points, "target").join(by_word, "key").where(held >= need).select("target", "title_id")
+    by_ref = t.select("target", ref_key(F.col("ref")).alias("key")).where("key is not null").join(reference_index(titles), "key").select("target", "title_id")
+    rows = spread(found.unionByName(by_ref).distinct().join(t, "target").join(titles.select("title_id", "title"), "title_id"), "target")
     return rows.select("target", "title_id", sale_title_score({c: F.col(c) for c in IDENTITY}, F.col("title")).alias("score")).where(F.col("score") >= least)
 
 

@@ -36,7 +36,7 @@ EV = """v as (select listing_id, price, p, 0.8::double * price * p[1] + 1.1::dou
   from listings join (values (0, [0.70::double, 0.20, 0.08, 0.02]), (1, [0.30::double, 0.45, 0.20, 0.05]), (2, [0.10::double, 0.30, 0.45, 0.15]), (3, [0.05::double, 0.15, 0.40, 0.40])) d(k, p) on listing_id % 4 = k)"""
 
 
-@query("NUM-28", "NUM-29", "NUM-30", "UDF-07", sql=f"with {LISTINGS_SQL.strip()}, {EV}" + """
+@query("NUM-28", "NUM-29", "NUM-30", sql=f"with {LISTINGS_SQL.strip()}, {EV}" + """
 select listing_id, round(1e-9 + gross, 4) as gross, round(1e-9 + gross * 0.87::double - 25 - price, 4) as profit, round(1e-9 + (gross * 0.87::double - 25 - price) / (price + 25) * 100, 4) as roi,
   round(1e-9 + greatest(0, least(1, ((price + 25) / 0.87::double - 1.1::double * price) / (1.9::double * price))), 6) as break_even from v""")
 def expected_values(spark, sf_dir):

@@ -45,7 +45,7 @@ def averages_estimate(spark, sf_dir):
     return provided(spark, sf_dir).select("listing_id", F.round(middle(x), 6).alias("central"), (F.array_max(x) / F.array_min(x) > 1.5).alias("anomalous"), F.size(x).alias("known"))
 
 
-@query("AGG-32", "AGG-51", "AGG-53", sql=with_sales("""
+@query("AGG-32", "AGG-51", sql=with_sales("""
 select part_id, len(k)::int as kept, round((k[(len(k) + 1) // 2] + k[len(k) // 2 + 1]) / 2, 6) as central, k[1] as low, k[-1] as high from (
   select *, list_filter(x, lambda v: v >= greatest(lo - reach, 0.01) and v <= hi + reach) as k from (select *, case when hi - lo > 0 then 1.5 * (hi - lo) else 0.4::double * med end as reach from h))""", """
 a as (select part_id, count(*) as n, list_sort(list(floor(price * 100 + 0.5) / 100.0::double)) as x from sales where source = 'F' and age >= 0 group by part_id having count(*) >= 3),

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over all shuffle partitions (by keys, if given): what costs time a row is then not bound to the few tasks in which a small table is read, nor put together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def age_days(at: str, now: str = NOW):
     """Days between a timestamp column and now, with fractions; negative for the future."""
     return (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(at)) / F.lit(86400.0)
