@@ -227,12 +227,12 @@ def with_readings(df: DataFrame, title: str, most: int = 10) -> DataFrame:
 
 
 @query("STR-18", sql="""
-select p_partkey as k, p_name as core, case p_partkey % 3 when 0 then p_size || '/' || p_partkey when 1 then 'SV-' || p_size else p_size || '/99' end as ref, case when p_partkey % 5 > 0 then (1990 + p_size % 30)::varchar else '' end as year,
+select p_partkey as k, p_name as core, case p_partkey % 3 when 0 then p_size || '/' || (p_partkey % 900) when 1 then 'SV-' || p_size else p_size || '/99' end as ref, case when p_partkey % 5 > 0 then (1990 + p_size % 30)::varchar else '' end as year,
   case p_partkey % 4 when 0 then 'French' when 1 then 'Japanese' when 2 then 'German' else '' end as language, case when p_partkey % 7 > 0 then 'Legend ' || replace(p_brand, '#', ' ') else '' end as series from part""")
 def whole_title_identities(spark, sf_dir):
     """Identities from titles and item texts: a labelled, a marked or a bare reference, a labelled or a bare year, a language said or known."""
     p, k, s = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size").cast("string")
-    ref = F.when(k % 3 == 0, F.concat(s, F.lit("/"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("sv-"), s)).otherwise(F.concat(s, F.lit("/99")))
+    ref = F.when(k % 3 == 0, F.concat(s, F.lit("/"), (k % 900).cast("string"))).when(k % 3 == 1, F.concat(F.lit("sv-"), s)).otherwise(F.concat(s, F.lit("/99")))
     year = F.when(k % 5 > 0, (1990 + F.col("p_size") % 30).cast("string"))
     language = F.when(k % 4 == 0, "Français").when(k % 4 == 1, "japonais")
     grading = F.when(k % 2 == 0, "PSA 9 ").otherwise("CGC 9.5 ")

@@ -28,6 +28,8 @@ TONGUES = {"french": ["french", "français", "francais"], "japanese": ["japanese
 TOKEN = r"[a-zà-ÿ0-9'-]{3,}"
 #: Characters on each side of a reference's slash by which it is looked up.
 REACH = 6
+#: Characters of a word by which it is looked up, at most.
+LONGEST = 12
 
 IDENTITY = ("ref", "year", "series", "core", "language", "grader", "grade")
 
@@ -110,10 +112,12 @@ def certified_score(target: dict[str, Column], text: Column, ref: Column, year:
 
 
 def word_index(titles: DataFrame) -> DataFrame:
-    """title_id, key (a word of the title) and words (all of them)."""
+    """title_id and key: every part of 3 to LONGEST characters of every word of a title, as a word may stand inside a longer one."""
     t = spread(titles.select("title_id", F.lower(F.coalesce("title", F.lit(""))).alias("_t")), "title_id")
-    words = t.select("title_id", F.array_distinct(F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0))).alias("words"))
-    return words.select("title_id", F.explode("words").alias("key"), "words")
+    words = t.select("title_id", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0)))).alias("w"))
+    begun = words.select("title_id", "w", F.explode(F.sequence(F.lit(1), F.length("w") - 2)).alias("i"))
+    parts = begun.select("title_id", "w", "i", F.explode(F.sequence(F.lit(3), F.least(F.lit(LONGEST), F.length("w") - F.col("i") + 1))).alias("n"))
+    return parts.select("title_id", F.expr("substring(w, i, n)").alias("key"))
 
 
 def reference_index(titles: DataFrame) -> DataFrame:
@@ -138,8 +142,8 @@ def matched_titles(targets: DataFrame, titles: DataFrame, least: int = 70) -> Da
 
     targets have target and the IDENTITY columns, titles have title_id and title. least must be above 38, what grade, house and language can
     add without a word. Titles found by a word are scored only if they hold as many points of the target's words as a match
-    without the reference needs. A reference is found inside a longer one as the score finds it where it has one slash; a
-    word, or a reference without a slash, where it stands as a word of its own.
+    without the reference needs. Words, and references with one slash, are found inside longer ones as the score finds them; a
+    reference without a slash where it stands as a word of its own.
     """
     if least <= 38:
         raise ValueError("least must be above 38")
@@ -153,15 +157,18 @@ def matched_titles(targets: DataFrame, titles: DataFrame, least: int = 70) -> Da
     times = lambda column, common, points: F.size(tokens(F.col(column), common, 5)) * points
     able = t.where(times("series", COMMON_IN_SERIES, 6) + times("core", COMMON_IN_NAMES, 8) + 8 >= need)
     asked = able.select("target", F.explode(words).alias("w")).groupBy("target", "w.key").agg(F.sum("w.points").alias("points"))
-    by_word = word_index(titles)
-    seen = by_word.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("title_id").alias("n"))
+    start = F.left(F.col("key"), F.lit(LONGEST)).alias("start")
+    by_word = word_index(titles).join(asked.select(start.alias("key")).distinct(), "key", "left_semi")
+    seen = by_word.groupBy(F.col("key").alias("start")).agg(F.count_distinct("title_id").alias("n"))
     own = Window.partitionBy("target")
-    asked = asked.join(seen, "key", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "_all": F.sum("points").over(own)})
+    asked = asked.withColumn("start", start).join(seen, "start", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "_all": F.sum("points").over(own)})
     asked = asked.withColumn("_before", F.coalesce(F.sum("points").over(own.orderBy("n", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    keys = asked.where(F.col("_before") <= F.col("_all") - need).select("target", "key")  # of these one at least is in every match
+    keys = asked.where(F.col("_before") <= F.col("_all") - need).select("target", F.col("start").alias("key"))  # of these words one at least is in every match
     points = asked.groupBy("target").agg(F.map_from_entries(F.collect_list(F.struct("key", "points"))).alias("_points"))  # eleven words at most
-    held = F.aggregate(F.filter(F.map_keys("_points"), lambda w: F.array_contains("words", w)), F.lit(0), lambda a, w: a + F.element_at("_points", w).cast("int"))
-    found = keys.join(points, "target").join(by_word, "key").where(held >= need).select("target", "title_id")
+    text = titles.select("title_id", F.lower(F.coalesce("title", F.lit(""))).alias("_t"))
+    held = F.aggregate(F.filter(F.map_keys("_points"), lambda w: F.col("_t").contains(w)), F.lit(0), lambda a, w: a + F.element_at("_points", w).cast("int"))
+    named = by_word.join(keys.select("key").distinct(), "key", "left_semi").distinct().join(text, "title_id")
+    found = keys.join(points, "target").join(named, "key").where(held >= need).select("target", "title_id")
     by_ref = t.select("target", ref_key(F.col("ref")).alias("key")).where("key is not null").join(reference_index(titles), "key").select("target", "title_id")
     rows = spread(found.unionByName(by_ref).distinct().join(t, "target").join(titles.select("title_id", "title"), "title_id"), "target")
     return rows.select("target", "title_id", sale_title_score({c: F.col(c) for c in IDENTITY}, F.col("title")).alias("score")).where(F.col("score") >= least)

@@ -141,7 +141,8 @@ def test_every_title_above_the_bound_is_found(spark):
     texts = []
     for i in range(400):
         c = r.choice(cards)
-        bits = ["Pokemon", *(c[3].split() if r.random() < 0.8 else []), *(c[4].split()[: r.randrange(4)]), c[2] if r.random() < 0.7 else "", f"12{c[1]}" if c[1] and r.random() < 0.5 else "", "PSA 9", r.choice(["french", "english", ""])]
+        inner = f"xx{c[4].split()[0]}y" if r.random() < 0.3 else ""  # a word inside a longer one
+        bits = ["Pokemon", inner, *(c[3].split() if r.random() < 0.8 else []), *(c[4].split()[: r.randrange(4)]), c[2] if r.random() < 0.7 else "", f"12{c[1]}" if c[1] and r.random() < 0.5 else "", "PSA 9", r.choice(["french", "english", ""])]
         r.shuffle(bits)
         texts.append((i, " ".join(bits)))
     t, s = spark.createDataFrame(cards, CARD), spark.createDataFrame(texts, "title_id int, title string")
