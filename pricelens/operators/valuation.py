@@ -84,12 +84,68 @@ ESTIMATES = [
 ]
 
 
-@query("AGG-07", "NUM-13", "NUM-14", "NUM-15", "AGG-42", "AGG-50", sql=with_sales("\nselect part_id, n, round(low, 4) as low, round(central, 4) as central, round(high, 4) as high, dispersion, liquidity, consistent, threshold, confidence from est", *ESTIMATES))
+@query("NUM-13", "NUM-14", "NUM-15", "AGG-42", "AGG-50", sql=with_sales("\nselect part_id, n, round(low, 4) as low, round(central, 4) as central, round(high, 4) as high, dispersion, liquidity, consistent, threshold, confidence from est", *ESTIMATES))
 def market_estimate(spark, sf_dir):
     out = market_estimates(sales(spark, sf_dir).where("age >= 0"), ["part_id"])
     return out.select("part_id", "n", *[F.round(c, 4).alias(c) for c in ("low", "central", "high")], "dispersion", "liquidity", "consistent", "threshold", "confidence")
 
 
+ROLES = {"same": 0, "lower": 1, "upper": 2}
+
+
+def bounded_estimates(asks: DataFrame, sold: DataFrame) -> DataFrame:
+    """low, central and high of asks (listing_id, g, want, ask: house, grade, price) from sales of their part and house, with arbitrage, reference_grade and reference_value.
+
+    Sales of the same grade are the comparables; those of the next lower and the next higher grade bound them: low is at most the weighted median of the
+    lower ones, high at least that of the upper ones. Without a sale of the grade, the next lower grade stands for it if the ask is not above its median (arbitrage).
+    Each group loses its outliers on its own. Asks without either have no row.
+    """
+    c = F.col
+    rows = sold.where("price > 0").join(asks, (c("part_id") == c("listing_id")) & (c("grader") == c("g")))
+    near = rows.groupBy(c("listing_id").alias("_l")).agg(F.max(F.when(c("grade") < c("want"), c("grade"))).alias("_low"), F.min(F.when(c("grade") > c("want"), c("grade"))).alias("_high"))
+    rows = rows.join(near, c("listing_id") == c("_l"))
+    role = F.when(c("grade") == c("want"), 0).when(c("grade") == c("_low"), 1).when(c("grade") == c("_high"), 2)
+    rows = rows.withColumn("key", c("listing_id") * 4 + role).where("key is not null")
+    kept = keep_mad(rows.select("key", "price", "age", "grade", "source"), ["key"])
+    quartiles = weighted_quantiles(weighted_comparables(kept), ["key"], {"low": 0.25, "central": 0.5, "high": 0.75})
+    plain = kept.groupBy("key").agg(F.percentile("price", 0.5).alias("median"), F.max("grade").alias("grade"), F.count("price").alias("n"))
+    each = quartiles.join(plain, "key").withColumn("e", F.struct("low", "central", "high", "median", "grade", "n"))
+    of = [F.max(F.when(c("key") % 4 == r, c("e"))).alias(name) for name, r in ROLES.items()]
+    g = each.groupBy(F.floor(c("key") / 4).alias("listing_id")).agg(*of).join(asks.select("listing_id", "ask"), "listing_id")
+    arbitrage = c("same").isNull() & (c("ask") <= c("lower.median"))
+    g = g.withColumn("arbitrage", F.coalesce(arbitrage, F.lit(False))).withColumn("own", F.coalesce(c("same"), F.when(c("arbitrage"), c("lower")))).where("own is not null")
+    low = F.least("own.low", "own.central", F.when(~c("arbitrage"), c("lower.central")))  # nulls are passed over
+    high = F.greatest("own.high", "own.central", "upper.central")
+    return g.select(
+        "listing_id", c("own.n").alias("n"), low.alias("low"), c("own.central").alias("central"), high.alias("high"), "arbitrage",
+        F.when(c("arbitrage"), c("lower.grade")).alias("reference_grade"), F.when(c("arbitrage"), c("lower.median")).alias("reference_value"),
+    )
+
+
+BOUNDED = [
+    LISTINGS_SQL,
+    """near as (select s.*, listing_id, l.price as ask, l.grade as want, max(case when s.grade < l.grade then s.grade end) over (partition by listing_id) as lo, min(case when s.grade > l.grade then s.grade end) over (partition by listing_id) as hi
+      from sales s join listings l on s.part_id = l.listing_id and s.grader = l.grader where s.age >= 0 and s.price > 0),
+    roles as (select *, listing_id * 4 + case when grade = want then 0 when grade = lo then 1 else 2 end as key from near where grade in (want, lo, hi))""",
+    keep_mad_sql("roles", "key"), WEIGHTED, weighted_quantiles_sql("w", "key", {"low": 0.25, "central": 0.5, "high": 0.75}),
+    """md as (select key, median(price) as med, max(grade) as grade, count(*) as n, max(ask) as ask from kept group by key),
+    e as (select key // 4 as listing_id, key % 4 as role, * exclude (key) from wq join md using (key)),
+    s as (select coalesce(a.listing_id, b.listing_id) as listing_id, a.central is null as missing, coalesce(a.ask, b.ask) as ask, a.n as n0, a.low as l0, a.central as c0, a.high as h0, b.n as n1, b.low as l1, b.central as c1, b.high as h1, b.med as m1, b.grade as g1
+      from (select * from e where role = 0) a full join (select * from e where role = 1) b on a.listing_id = b.listing_id),
+    o as (select s.*, u.central as cu, missing as arb from s left join (select * from e where role = 2) u on u.listing_id = s.listing_id where not missing or s.ask <= m1)""",
+]
+
+
+@query("AGG-07", "WIN-02", sql=with_sales("""
+select listing_id, case when arb then n1 else n0 end as n, round(1e-9 + case when arb then least(l1, c1) else least(l0, c0, c1) end, 4) as low, round(1e-9 + case when arb then c1 else c0 end, 4) as central,
+  round(1e-9 + case when arb then greatest(h1, c1, cu) else greatest(h0, c0, cu) end, 4) as high, arb as arbitrage, case when arb then g1 end as reference_grade, round(1e-9 + case when arb then m1 end, 4) as reference_value from o""", *BOUNDED))
+def bounded_market_estimates(spark, sf_dir):
+    """Estimates for every ask whose house has sold its grade, or a lower one for no less."""
+    asks = listings(spark, sf_dir).select("listing_id", F.col("grader").alias("g"), F.col("grade").alias("want"), F.col("price").alias("ask"))
+    out = bounded_estimates(asks, sales(spark, sf_dir).where("age >= 0").select("part_id", "grader", "grade", "price", "age", "source"))
+    return out.select("listing_id", "n", *[near(F.col(c), 4).alias(c) for c in ("low", "central", "high")], "arbitrage", "reference_grade", near(F.col("reference_value"), 4).alias("reference_value"))
+
+
 def rejection(price: Column, central: Column, low: Column, threshold: Column) -> Column:
     """Why a listing is no opportunity; empty if it is one."""
     discount = (central - price) / central * 100
