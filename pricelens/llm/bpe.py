@@ -6,8 +6,8 @@ last tokens of all prefixes determine the encodings. The distinct words of a run
 depth first - in sorted order, keeping the path of the word before - and the last token of every prefix is
 found once, however many words share it.
 
-Texts are cut at special tokens, then into runs without white space (each with the space before it) and runs
-of white space; each distinct run is cut into pre-tokens by the tokenizer's pattern and encoded once. The
+Texts are cut at special tokens and then, all of a slice at once, into pre-tokens as the tokenizer's pattern has
+them; each that is not known is encoded once (known_words). The
 tokenizer file is read on the driver and sent to the tasks (its size does not depend on the data); nothing is
 trained. Null and empty texts have no ids and give an empty text back. Texts are encoded whole; a very long word
 costs its length (each prefix keeps its last token alone). Repeated rows are rows of their own; columns of docs
@@ -19,18 +19,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import uuid
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
 from .common import in_worker, table, with_columns
+from .known_words import Known
 
 #: White space as in Unicode, and the pattern that cuts text before merges.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PIECES = regex.compile(PATTERN)
 
 
@@ -38,15 +37,6 @@ PIECES = regex.compile(PATTERN)
 TAIL = 4
 
 
-def pieces_of(run: str) -> list[str]:
-    """Pre-tokens of a run; letters, also after a space or before a mark, need no pattern."""
-    if run.isalpha() or (run[0] == " " and run[1:].isalpha()):
-        return [run]
-    if run[-1] in ".," and (run[:-1].isalpha() or (run[0] == " " and run[1:-1].isalpha())):
-        return [run[:-1], run[-1]]
-    return PIECES.findall(run)
-
-
 def byte_letters() -> dict[str, int]:
     """The letters that stand for the 256 bytes in byte-level vocabulary files: printable ones for themselves."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -89,9 +79,9 @@ class Bpe:
         self.joins: dict[int, bool] = {}
         self.tails: dict[bytes, tuple[list[tuple[int, int]], bool]] = {}
         self.ids: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
         self.limit = limit
-        self.held = {"ids": 0, "runs": 0}  # characters of what is known
+        self.held = 0  # characters of what is in ids
+        self.known = Known(SPACE, self.encode_bytes)
 
     def _apart(self, a: int, b: int, before: int) -> bool:
         """Whether merges of a rank under `before` leave the border between tokens a and b alone.
@@ -172,46 +162,33 @@ class Bpe:
             out[word] = b"".join(reversed(ids))
         return out
 
-    def _known(self, name: str) -> dict[str, bytes]:
-        """What is known by this name; emptied when it has grown past its limit in entries or (16 an entry) characters."""
-        known = getattr(self, name)
-        if len(known) > self.limit or self.held[name] > 16 * self.limit:
-            known.clear()
-            self.held[name] = 0
-        return known
-
     def learn_pieces(self, pieces) -> None:
-        """Make the ids of these pre-tokens known; earlier ones may be forgotten."""
-        ids = self._known("ids")
+        """Make the ids of these pre-tokens known; earlier ones are forgotten past a limit in entries or (16 an entry) characters."""
+        ids = self.ids
+        if len(ids) > self.limit or self.held > 16 * self.limit:
+            ids.clear()
+            self.held = 0
         new = {p for p in pieces if p not in ids}
         if new:
             ids.update(self.encode_words(new))
-            self.held["ids"] += sum(map(len, new))
-
-    def learn(self, runs) -> None:
-        """Make the ids of these distinct runs known; earlier ones may be forgotten."""
-        known = self._known("runs")
-        plain, cut = [], {}
-        for r in runs - known.keys():
-            self.held["runs"] += len(r)
-            pieces = pieces_of(r)
-            if len(pieces) == 1:
-                plain.append(r)
-            else:
-                cut[r] = pieces
-        self.learn_pieces({p for pieces in cut.values() for p in pieces})
-        for r, pieces in cut.items():
-            known[r] = b"".join(map(self.ids.__getitem__, pieces))
-        known.update(self.encode_words(plain))
+            self.held += sum(map(len, new))
+
+    @property
+    def runs(self) -> dict[str, int]:
+        """Long pre-tokens that are known."""
+        return self.known.long
+
+    def encode_bytes(self, byte: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, given by their first bytes and sizes, one after the other; how many each has."""
+        words = [byte[a : a + n].tobytes().decode() for a, n in zip(at.tolist(), size.tolist())]
+        ids = list(map(Bpe.encode_words(self, words).__getitem__, words))
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.cut.split(t) if self.cut and self.cut.search(t) else [t] for t in texts]
-        cut = [[[p] if p in self.special else RUNS.findall(p) for p in ps] for ps in parts]
-        self.learn(set().union(*[rs for ps, runs in zip(parts, cut) for p, rs in zip(ps, runs) if p not in self.special]))
-        marks = {t: self.packed[i] for t, i in self.special.items()}
-        get = self.runs.__getitem__
-        return [b"".join(marks[p] if p in marks else b"".join(map(get, rs)) for p, rs in zip(ps, runs)) for ps, runs in zip(parts, cut)]
+        ids = iter(self.known.of([p for ps in parts for p in ps if p not in self.special]))
+        return [b"".join(self.packed[self.special[p]] if p in self.special else next(ids) for p in ps) for ps in parts]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -234,12 +211,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def shared_bpe(spark, path: str | None = None):
-    """A function that gives the tasks' tokenizer, made once in each worker."""
+def shared_bpe(spark, path: str | None = None, kind: type[Bpe] = Bpe):
+    """A function that gives the tasks' tokenizer, made once in each worker for all frames with the same file.
+
+    Held by the file's content: a second frame does not hold a second one beside the first. The file's size does not depend on the data.
+    """
     with open(path or tokenizer_path(), encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast(f.read())
-    key = uuid.uuid4().hex
-    return lambda: in_worker(key, lambda: Bpe(definition.value))
+        text = f.read()
+    definition, key = spark.sparkContext.broadcast(text), f"{kind.__name__} {hashlib.sha256(text.encode()).hexdigest()}"
+    return lambda: in_worker(key, lambda: kind(definition.value))
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -263,7 +243,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         back = (b.decode("utf-8", "replace").encode() for b in bpe().decode_bytes(ids))
         return [[len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids], [hashlib.sha256(b).hexdigest() for b in back]]
 
-    return with_columns(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_columns(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", limit=1 << 20)
 
 
 def op6_bpe(spark, sf_dir):

@@ -72,10 +72,10 @@ def slices(texts: list, limit: int = 2 << 20):
         yield start, len(texts)
 
 
-def with_columns(df: DataFrame, make, fields: str, text: str = "text") -> DataFrame:
+def with_columns(df: DataFrame, make, fields: str, text: str = "text", limit: int = 2 << 20) -> DataFrame:
     """Every row of df with the columns that make(list of texts) returns for it.
 
-    make gets a run of consecutive texts (nulls included) of a few million characters and returns one
+    make gets a run of consecutive texts (nulls included) of about `limit` characters and returns one
     list or array for each of the fields, a DDL string. The fields replace columns of the same name.
     """
     schema = df.sparkSession.createDataFrame([], fields).schema
@@ -89,7 +89,7 @@ def with_columns(df: DataFrame, make, fields: str, text: str = "text") -> DataFr
     def run(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, limit):
                 part = batch.slice(a, b - a)
                 made = make(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, pa_type) for x, pa_type in zip(made, types)]], [*rest, *names])

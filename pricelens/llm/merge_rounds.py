@@ -7,12 +7,9 @@ of the length, take the trie walk.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 
-from .bpe import Bpe, pieces_of, tokenizer_path
-from .common import in_worker
+from .bpe import Bpe
 
 #: Bytes up to which a word takes part in rounds.
 SHORT = 40
@@ -66,10 +63,10 @@ class RoundsBpe(Bpe):
             open_ = open_[~hit & (seen != ~np.uint64(0))]
         return out
 
-    def _rows(self, raw: list[bytes], size: int) -> list[bytes]:
-        """Ids of words of `size` bytes each."""
-        n = len(raw)
-        token = self.first[np.frombuffer(b"".join(raw), np.uint8)].reshape(n, size)
+    def _rows(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are rows of bytes, one after the other; how many each has."""
+        n, size = raw.shape
+        token = self.first[raw]
         if token.min(initial=0) < 0:
             raise ValueError("the vocabulary lacks a byte")
         token, alive = np.ascontiguousarray(token), np.ones((n, size), bool)
@@ -103,44 +100,24 @@ class RoundsBpe(Bpe):
             rank_[here] = NONE
             both = self._rank(np.concatenate((token_[here[has_far]], token_[left])), np.concatenate((token_[right], token_[here[has_back]])))
             rank_[here[has_far]], rank_[left] = both[: len(has_far)], both[len(has_far) :]
-        ids = token[alive].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(alive.sum(1))).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return token[alive].astype(np.uint32), alive.sum(1)
+
+    def encode_bytes(self, byte: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        borders = [*np.flatnonzero(np.diff(size, prepend=-1)).tolist(), len(size)]
+        out = []
+        for a, b in zip(borders, borders[1:]):
+            n = int(size[a])
+            out.append(self._rows(byte[at[a:b, None] + np.arange(n)]) if n <= SHORT else super(RoundsBpe, self).encode_bytes(byte, at[a:b], size[a:b]))
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
     def encode_words(self, words) -> dict[str, bytes]:
-        words = list(words)
+        words = sorted(words, key=lambda w: len(w.encode()))
         raw = list(map(str.encode, words))
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        order = np.argsort(size, kind="stable")
-        borders = [*np.flatnonzero(np.diff(size[order], prepend=-1)).tolist(), len(order)]
-        order, out, long_words = order.tolist(), {}, []
-        for a, b in zip(borders, borders[1:]):
-            group, n = order[a:b], int(size[order[a]])
-            if n > SHORT:
-                long_words += map(words.__getitem__, group)
-            else:
-                out.update(zip(map(words.__getitem__, group), self._rows(list(map(raw.__getitem__, group)), n) if n else [b""] * len(group)))
-        if long_words:
-            out.update(super().encode_words(long_words))
+        some = np.flatnonzero(size)  # an empty one has no ids
+        out = dict.fromkeys(words, b"")
+        if len(some):
+            ids, n = self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(size) - size)[some], size[some])
+            ids, upto = ids.astype("<u4").tobytes(), [0, *(4 * np.cumsum(n)).tolist()]
+            out.update((words[i], ids[a:b]) for i, a, b in zip(some.tolist(), upto, upto[1:]))
         return out
-
-    def learn(self, runs) -> None:
-        """As in Bpe; letters, alone or after a space, are one pre-token and need no look at each."""
-        known = self._known("runs")
-        new = runs - known.keys()
-        self.held["runs"] += sum(map(len, new))
-        plain = {r for r in new if r.lstrip(" ").isalpha()}
-        cut = {r: pieces_of(r) for r in new - plain}
-        known.update(self.encode_words(plain))
-        self.learn_pieces(set().union(*cut.values()))
-        get = self.ids.__getitem__
-        for r, pieces in cut.items():
-            known[r] = b"".join(map(get, pieces))
-
-
-def shared_rounds(spark, path: str | None = None):
-    """A function that gives the tasks' tokenizer, made once in each worker; the file's size does not depend on the data."""
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast(f.read())
-    key = uuid.uuid4().hex
-    return lambda: in_worker(key, lambda: RoundsBpe(definition.value))

@@ -194,3 +194,35 @@ def test_merge_rounds_equal_the_trie_walk():
     assert b.encode_words(names) == a.encode_words(names)
     texts = [t or "" for _, t in awkward()]
     assert b.encode(texts) == a.encode(texts)
+
+
+def test_frames_with_one_tokenizer_file_share_one_tokenizer(spark):
+    from pricelens.llm import common
+    from pricelens.llm.bpe import shared_bpe
+
+    first, second = shared_bpe(spark), shared_bpe(spark)
+    assert first() is second()
+    assert sum(k.startswith("Bpe ") for k in common._HELD) == 1
+
+
+def test_pre_tokens_cut_together_equal_the_library():
+    from tokenizers import Tokenizer
+
+    from pricelens.llm.bpe import Bpe, tokenizer_path
+    from pricelens.llm.merge_rounds import RoundsBpe
+
+    r = random.Random(5)
+    letters = [*"aab the stmd ''  \n\n\t\r\x0b1 22 .,;#-é漢字ñ\u00a0\u2003\u3000\u0301\u200b\x85\x1c\x00٣²½ª😀", "'s", "'re", "'ll", " '", "ve", "<|endoftext|>"]
+    texts = ["".join(r.choices(letters, k=r.choice([0, 1, 2, 3, 5, 9, 30, 80]))) for _ in range(3000)]
+    texts += ["'", "''", "'s", "x'", " a", "a\x00", "\x00" * 30, "\n" * 100 + "x", " " * 300, "漢" * 20, "it'summer 'tis 're'll", "a" * 23, "a" * 24]
+    t = Tokenizer.from_file(tokenizer_path())
+    t.no_truncation()
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        definition = f.read()
+    for kind in (Bpe, RoundsBpe):
+        mine = kind(definition)
+        mine.known.limit = 500  # the table is emptied on the way
+        assert [x for k in range(0, len(texts), 100) for x in mine.encode(texts[k : k + 100])] == want
+        assert mine.known.entries < 500 + 100 * 80  # bounded by the limit and one slice
+        assert mine.encode([]) == [] and mine.encode(["", ""]) == [b"", b""]
