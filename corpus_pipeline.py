@@ -28,8 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = common.written(kept.withColumnRenamed("doc_id", "_kept"), "kept")
+    ids = F.broadcast(kept) if kept.count() <= near_dedup.FEW else kept  # rows stay where they are; beyond that both sides are shuffled
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    named = docs.select(F.col("doc_id").cast("long").alias("_id"), row).join(kept, F.col("_id") == F.col("_kept")).select("_id", "_row")
+    named = docs.select(F.col("doc_id").cast("long").alias("_id"), row).join(ids, F.col("_id") == F.col("_kept")).select("_id", "_row")
     if not kept.where("_rows > 1").isEmpty():
         others = F.to_json(F.struct(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "text"]))
         first = Window.partitionBy("_id", F.sha2("_row.text", 256)).orderBy(others)

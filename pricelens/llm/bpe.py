@@ -108,7 +108,7 @@ class Bpe:
 
     def _follows(self, a: int, b: int) -> bool:
         known = self._apart(a, b, 1 << 60)
-        if len(self.joins) > 2 * self.limit:
+        if len(self.joins) > self.limit // 2:
             self.joins.clear()
         self.joins[a << 32 | b] = known
         return known
@@ -243,7 +243,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         back = (b.decode("utf-8", "replace").encode() for b in bpe().decode_bytes(ids))
         return [[len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids], [hashlib.sha256(b).hexdigest() for b in back]]
 
-    return with_columns(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", limit=1 << 20)
+    return with_columns(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", limit=1 << 19)
 
 
 def op6_bpe(spark, sf_dir):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ def in_worker(key: str, make):
     return _HELD[key]
 
 
+def forget() -> None:
+    """Give back what in_worker holds: for tasks that use none of it, in a worker that ran another stage before."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,10 +82,28 @@ def slices(texts: list, limit: int = 2 << 20):
         yield start, len(texts)
 
 
-def with_columns(df: DataFrame, make, fields: str, text: str = "text", limit: int = 2 << 20) -> DataFrame:
+def sliced(batches, at: int, limit: int = 1 << 20):
+    """Slices of consecutive rows whose texts (column `at`, or its bytes) take about `limit` bytes together.
+
+    Python strings are made of one slice at a time, and what a batch took is given back before the next one.
+    """
+    for batch in batches:
+        start = size = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+            size += n
+            if size >= limit:
+                yield batch.slice(start, i + 1 - start)
+                start, size = i + 1, 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def with_columns(df: DataFrame, make, fields: str, text: str = "text", limit: int = 1 << 20) -> DataFrame:
     """Every row of df with the columns that make(list of texts) returns for it.
 
-    make gets a run of consecutive texts (nulls included) of about `limit` characters and returns one
+    make gets a run of consecutive texts (nulls included) of about `limit` bytes and returns one
     list or array for each of the fields, a DDL string. The fields replace columns of the same name.
     """
     schema = df.sparkSession.createDataFrame([], fields).schema
@@ -87,12 +115,9 @@ def with_columns(df: DataFrame, make, fields: str, text: str = "text", limit: in
     at = rest.index(text)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts, limit):
-                part = batch.slice(a, b - a)
-                made = make(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, pa_type) for x, pa_type in zip(made, types)]], [*rest, *names])
+        for part in sliced(batches, at, limit):
+            made = make(part.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, pa_type) for x, pa_type in zip(made, types)]], [*rest, *names])
 
     from pyspark.sql.pandas.types import to_arrow_type
 

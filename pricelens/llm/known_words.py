@@ -79,14 +79,14 @@ def grown(x: np.ndarray, n: int) -> np.ndarray:
 class Known:
     """Ids of known pre-tokens; encode(bytes, at, size) gives those of distinct words in order of size, one after the other, and how many each has."""
 
-    def __init__(self, space: str, encode, limit: int = 500_000):
+    def __init__(self, space: str, encode, limit: int = 480_000):
         self.space, self.encode, self.limit = space, encode, limit
         self.clear()
 
     def clear(self) -> None:
         self.slots = np.zeros(1 << BITS, np.int32)
         self.entries, self.used = 1, 0  # entry 0 is no word: its size is 0
-        self.keys, self.first, self.n = np.zeros((1 << 12, 3), np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.keys, self.first, self.n = np.zeros((1 << 12, 3), np.uint64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, np.uint32)
         self.long: dict[str, int] = {}  # entries of words beyond KEY bytes
         self.held = 0  # their characters

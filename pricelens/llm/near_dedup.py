@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import forget, sliced, table, written
 from .components import components
 
 WIDTH = 5
@@ -98,27 +98,26 @@ def signatures(docs: DataFrame) -> DataFrame:
     tree = mixed(np.arange(1, TREES + 1, dtype=np.uint64))
 
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                sets = shingle_sets(texts[a:b])
-                set_ids, prefixes, minima = [], [], []
-                for s in sets:
-                    if not len(s):
-                        set_ids.append(None), prefixes.append(None), minima.append(None)
-                        continue
-                    low = signature(s)
-                    first = low.reshape(TREES, DEPTH)
-                    key = tree.copy()
-                    for j in range(DEPTH):
-                        key = mixed(key * np.uint64(31) + first[:, j])
-                    set_ids.append(digest(s.tobytes()))
-                    prefixes.append(key.view(np.int64))
-                    two = ((mixed(low) >> np.uint64(32)) & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
-                    minima.append((two << np.array([6, 4, 2, 0], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a).cast(pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(set_ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(minima, pa.binary())], fields
-                )
+        forget()
+        for part in sliced(batches, 1):
+            sets = shingle_sets(part.column(1).to_pylist())
+            set_ids, prefixes, minima = [], [], []
+            for s in sets:
+                if not len(s):
+                    set_ids.append(None), prefixes.append(None), minima.append(None)
+                    continue
+                low = signature(s)
+                first = low.reshape(TREES, DEPTH)
+                key = tree.copy()
+                for j in range(DEPTH):
+                    key = mixed(key * np.uint64(31) + first[:, j])
+                set_ids.append(digest(s.tobytes()))
+                prefixes.append(key.view(np.int64))
+                two = ((mixed(low) >> np.uint64(32)) & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
+                minima.append((two << np.array([6, 4, 2, 0], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).cast(pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(set_ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(minima, pa.binary())], fields
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, prefixes array<long>, minima binary")
 
@@ -241,12 +240,12 @@ def sets_of(docs: DataFrame, nodes: DataFrame, digests: DataFrame) -> DataFrame:
     """node, shingles of the documents whose ids are in nodes; digests: node, set_id of the set that stands for each."""
 
     def run(batches):
-        for batch in batches:
-            ids, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                made = [s.tobytes() for s in shingle_sets(texts[a:b])]
-                good = [i for i, s in enumerate(made) if digest(s) == wanted[a + i]]  # rows that repeat an id may have other texts
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a + i] for i in good], pa.int64()), pa.array([made[i] for i in good], pa.binary())], ["node", "shingles"])
+        forget()
+        for part in sliced(batches, 1):
+            ids, texts, wanted = (part.column(i).to_pylist() for i in range(3))
+            made = [s.tobytes() for s in shingle_sets(texts)]
+            good = [i for i, s in enumerate(made) if digest(s) == wanted[i]]  # rows that repeat an id may have other texts
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in good], pa.int64()), pa.array([made[i] for i in good], pa.binary())], ["node", "shingles"])
 
     nodes = written(nodes.join(digests, "node"), "wanted")
     if nodes.count() <= FEW:  # 24 bytes each: texts stay where they are; beyond that both sides are shuffled

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, table, with_columns, written
+from .common import WORD, forget, table, with_columns, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -91,7 +91,12 @@ def measure(texts: list) -> list:
 
 def features(docs: DataFrame) -> DataFrame:
     """docs with the five counts and base_failed; columns of docs with these names are replaced."""
-    out = with_columns(docs, measure, ", ".join(f"{c} long" for c in FEATURES))
+
+    def make(texts):
+        forget()
+        return measure(texts)
+
+    out = with_columns(docs, make, ", ".join(f"{c} long" for c in FEATURES))
     return out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
 
 
@@ -166,10 +171,11 @@ def op10_quality_rules(spark, sf_dir):
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    whole = docs.select("lang", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    scored = written(features(whole).drop("text"), "quality-rows")  # counts are made once, and travel with the rows
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
+    whole = docs.select("lang", "source", "text", others)
+    scored = written(features(whole), "quality-rows")  # counts are made once, and travel with the rows; a text goes to Python once
     bounds = written(thresholds(sketches(scored)), "bounds")
-    return verdicts(scored, bounds).where("kept").select("_row.*")
+    return verdicts(scored, bounds).where("kept").select(*[F.col("text" if c == "text" else f"_row.`{c}`") for c in docs.columns])
 
 
 OP10_SQL = rf"""
