@@ -147,13 +147,82 @@ class Kept(StatefulProcessor):
         pass
 
 
-def kept(ticks: DataFrame, keys: list[str], time: str, order: list[str], rule: Rule, late: str = "1 hour") -> DataFrame:
-    """A stream of ticks with the fields of a rule; rows may be late by `late`."""
+class Together(StatefulProcessor):
+    """A rule over many keys at a time: the states of a bundle of keys are one list, with one timer, for the first that expires.
+
+    A frame and a call to the state cost far more than a row. A bundle has them once for all of its keys, but its list is
+    read and written whole: for streams whose batches hold most of the keys, with a few rows each.
+    """
+
+    def __init__(self, rule: Rule, order: list[str], names: list[str]):
+        self.rule, self.order, self.names = rule, order, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.list = handle, handle.getListState("last", f"key string, {self.rule.stored}")
+
+    def _states(self) -> dict:
+        rows = (tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in row) for row in self.list.get())
+        return {row[0]: self.rule.unpack(row[1:]) for row in rows}
+
+    def _keep(self, states: dict) -> None:
+        if states:
+            self.list.put([(key, *self.rule.pack(state)) for key, state in states.items()])
+        else:
+            self.list.clear()
+
+    def _first(self, states: dict) -> int | None:
+        return min((at for at in map(self.rule.expires, states.values()) if at is not None), default=None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable").reset_index(drop=True)
+        states = self._states()
+        first, changed = self._first(states), False
+        made, columns = [], list(pdf.columns)
+        for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
+            tick = {c: v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for c, v in zip(columns, row)}
+            before = states.get(tick["bundle_key"])
+            state, values = self.rule.step(before, tick)
+            if state != before:
+                states[tick["bundle_key"]], changed = state, True
+            made.append(values)
+        if changed:
+            self._keep(states)
+            new = self._first(states)
+            if new is not None and (first is None or new < first):  # else a timer is there that comes no later
+                self.handle.registerTimer(new)
+        yield pd.concat([pdf.drop(columns=["bundle_key", "bundle"]), pd.DataFrame(made, columns=self.names)], axis=1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        states, left = self._states(), {}
+        for own, state in states.items():
+            at = self.rule.expires(state)
+            state = self.rule.expired(state) if at is not None and at <= now else state
+            if state is not None:
+                left[own] = state
+        if left != states:
+            self._keep(left)
+        new = self._first(left)
+        if new is not None:
+            self.handle.registerTimer(new)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def kept(ticks: DataFrame, keys: list[str], time: str, order: list[str], rule: Rule, late: str = "1 hour", bundles: int = 0) -> DataFrame:
+    """A stream of ticks with the fields of a rule; rows may be late by `late`. bundles: a number of lists that hold the states of all keys together; 0: a state for each key."""
     spark = ticks.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     more = spark.createDataFrame([], rule.fields).schema
     out = StructType([*ticks.schema, *more])
-    return ticks.withWatermark(time, late).groupBy(*keys).transformWithStateInPandas(Kept(rule, order, more.fieldNames()), out, "Append", "EventTime")
+    ticks = ticks.withWatermark(time, late)
+    if bundles:
+        key = F.to_json(F.struct(*keys), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+        dealt = ticks.withColumns({"bundle_key": key, "bundle": F.pmod(F.xxhash64(*keys), F.lit(bundles))})
+        return dealt.groupBy("bundle").transformWithStateInPandas(Together(rule, order, more.fieldNames()), out, "Append", "EventTime")
+    return ticks.groupBy(*keys).transformWithStateInPandas(Kept(rule, order, more.fieldNames()), out, "Append", "EventTime")
 
 
 def in_slices(ticks: DataFrame, time: str, borders: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -171,6 +240,7 @@ def in_slices(ticks: DataFrame, time: str, borders: list[str], run: Callable[[Da
 
 
 SLICES = ["2024-01-10", "2024-01-20"]
+BUNDLES = 1024
 
 
 @query("STM-17", "STM-18", sql=SQL["alert_decisions"])
@@ -191,5 +261,5 @@ def streamed_deliveries(spark, sf_dir):
 def streamed_cooldowns(spark, sf_dir):
     """cooled_down_alerts as a stream; a timer forgets a key when its cooldown is over."""
     ticks = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), (F.col("event_id") % 17).cast("double").alias("gap"))
-    rows = in_slices(ticks, "ts", SLICES, lambda s: kept(s, ["user_id", "event_type"], "ts", ["ts", "event_id"], Cooldown(24)))
+    rows = in_slices(ticks, "ts", SLICES, lambda s: kept(s, ["user_id", "event_type"], "ts", ["ts", "event_id"], Cooldown(24), bundles=BUNDLES))
     return rows.where("sent").select("event_id", "user_id")
