@@ -21,6 +21,11 @@ def apart(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.greatest(a, b) / F.least(a, b))
 
 
+def cents(x: Column) -> Column:
+    """x to two decimals by its hundredths, as the SQL rounds: 2.135 is 2.13 if a hundred of it make 213.49999999999997. round(x, 2) goes by the digits shown."""
+    return F.round(x * 100) / 100
+
+
 def external_of_family(first: Column, second: Column) -> dict[str, Column]:
     """The aggregate that speaks for two providers of one family (structs of provider, center and sales; null: not usable): the first, if they do
     not contradict each other; and whether they do."""
@@ -110,11 +115,11 @@ x as (select *, case when not family_conflict then coalesce(e1, e2) end as exter
 def priced_cards(spark, sf_dir) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     unit = F.col("o_totalprice") / 1000
-    times = lambda n: F.round(unit * (1 + (F.col("o_custkey") % n) / F.lit(10.0)), 2)
+    times = lambda n: cents(unit * (1 + (F.col("o_custkey") % n) / F.lit(10.0)))
     side = lambda name, c, when: F.when(when, F.struct(F.lit(name).alias("provider"), c.alias("center"), (F.col("o_custkey") % 6).alias("sales")))
     family = external_of_family(side("first", times(11), k % 7 > 0), side("second", times(8), k % 3 > 0))
     home = F.when(k % 5 == 1, 0.0).when(k % 5 > 1, times(9))
-    rows = o.select(k.alias("k"), (k % 17 > 0).alias("identity_ok"), F.when(k % 13 > 0, F.round(unit, 2)).alias("offer"), home.alias("home"), family["external"].alias("_e"), family["conflict"].alias("family_conflict"))
+    rows = o.select(k.alias("k"), (k % 17 > 0).alias("identity_ok"), F.when(k % 13 > 0, cents(unit)).alias("offer"), home.alias("home"), family["external"].alias("_e"), family["conflict"].alias("family_conflict"))
     return rows.select("k", "identity_ok", "offer", "home", F.col("_e.center").alias("external"), F.col("_e.sales").alias("sales"), F.col("_e.provider").alias("provider"), "family_conflict")
 
 
@@ -143,7 +148,7 @@ select k, case when external is null then 'HOME_ONLY_UNCONFIRMED' when conflict
   case when external is null then oh + 1e-9 >= 20 else not conflict and oe + 1e-9 >= 20 and og + 1e-9 >= 20 end as announce from o""")
 def global_market_classes(spark, sf_dir):
     rows = priced_cards(spark, sf_dir).where("home is not null and offer is not null")
-    made = global_market(F.col("home"), F.col("external"), F.round(F.col("offer") * 1.1, 2), 20.0)
+    made = global_market(F.col("home"), F.col("external"), cents(F.col("offer") * 1.1), 20.0)
     return rows.select("k", made["status"].alias("status"), made["announce"].alias("announce"))
 
 

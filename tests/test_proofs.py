@@ -1,7 +1,10 @@
 """Gates that say why they do not open, confirmations of prices, and what is announced."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from pricelens import queries
 from pricelens.functions import proofs
 from pricelens.operators import confirmations
 
@@ -98,3 +101,18 @@ def test_only_whole_decisions_are_announced(spark):
     d = spark.createDataFrame([[r[c.split()[0]] for c in schema.split(", ")] for r in rows], schema)
     assert sorted(r.n for r in confirmations.announced(d, offers, True).collect()) == [0, 9, 13]
     assert sorted(r.n for r in confirmations.announced(d, offers, False).collect()) == [0, 9, 10, 11, 12]
+
+
+@pytest.mark.parametrize("name", ["announced_cards"])
+def test_prices_between_two_cents_are_rounded_as_in_the_sql(spark, tmp_path, name):
+    """At these totals a card's centres lie between two cents, and their ratio at the bound of 1.25 turns with the rounding."""
+    totals = [1067.5, 1077.5, 1087.5, 1192.5, 1202.5, 1212.5, 1222.5, 75465.0, 112845.0, 1005.0, 4935.0, 97.5]
+    orders = [(k, 87 + 792 * (k // 60) if k % 2 else k, totals[k % len(totals)]) for k in range(600)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, "O", 20.0) for k in range(600)], "l_orderkey long, l_linestatus string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"select {', '.join(got.columns)} from ({queries.SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
