@@ -2,9 +2,11 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pricelens import queries
 from pricelens.functions.scalars import amount, countdown_minutes, money, sale_date
 from pricelens.functions.text import card_number, key_of, normal, plain
 from pricelens.operators.robust import hinge_statistics, keep_mad, linear_recency, reference_value, step_recency, weighted_quantiles
@@ -196,3 +198,13 @@ def test_robust_statistics_gather_no_group_into_one_value(spark):
     for name in ("hinge_fences", "upper_median_reference", "kept_prices", "sold_estimates"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list" not in plan, name
+
+
+def test_the_backlog_simulation_stops_after_its_last_run(spark, tmp_path):
+    """Beyond 2,000 runs of 1,200 the SQL goes no further."""
+    for n in (0, 1, 1200, 1201, 2_400_000, 2_400_001):
+        folder = f"{tmp_path}/{n}"
+        spark.range(n).select(F.col("id").alias("o_orderkey"), F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("id") % 3 + 1).cast("int")).alias("o_orderstatus")).write.parquet(f"{folder}/orders.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view orders as select * from '{folder}/orders.parquet/*.parquet'")
+        assert [tuple(r) for r in queries.QUERIES["backlog_runs"](spark, folder).collect()] == con.execute(queries.SQL["backlog_runs"]).fetchall(), n
