@@ -103,7 +103,7 @@ def test_only_whole_decisions_are_announced(spark):
     assert sorted(r.n for r in confirmations.announced(d, offers, False).collect()) == [0, 9, 10, 11, 12]
 
 
-@pytest.mark.parametrize("name", ["announced_cards", "confirmed_cards"])
+@pytest.mark.parametrize("name", ["announced_cards", "confirmed_cards", "confirmed_marketplace_cards"])
 def test_prices_between_two_cents_are_rounded_as_in_the_sql(spark, tmp_path, name):
     """At these totals a card's centres lie between two cents, and their ratio at the bound of 1.25 turns with the rounding."""
     totals = [1067.5, 1077.5, 1087.5, 1192.5, 1202.5, 1212.5, 1222.5, 75465.0, 112845.0, 1005.0, 4935.0, 97.5]
