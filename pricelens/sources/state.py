@@ -32,6 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to a shared folder and read back: what is read several times is made once."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def versions(spark: SparkSession, folder: str) -> list[int]:
     """The complete versions in a folder, oldest first; a version without Spark's _SUCCESS file is not complete."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
